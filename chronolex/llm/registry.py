@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronolex.llm import simhash_dedup
+from chronolex.llm import mixing, sharding, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(_table(spark, sf_dir, "documents"), payload=False)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
+QUERIES = {f.__name__: f for f in (op6_mixing, op7_sharding, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

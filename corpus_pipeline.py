@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import simhash_dedup
+from chronolex.llm import mixing, sharding, simhash_dedup
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +12,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.deduplicated(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for."""
+    return mixing.repeated(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with shard and slot, in shuffled order inside each shard."""
+    return sharding.sharded(docs)
+
+
+STAGES = [("simhash near-dedup", near_duplicates), ("source mixing", mixture), ("sharding", shards)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
