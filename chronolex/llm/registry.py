@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import mixing, secret_scan, sharding, simhash_dedup
+from chronolex.llm import chat_format, mixing, secret_scan, sharding, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return chat_format.digest(chat_format.formatted(turns.unionByName(more)))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(_table(spark, sf_dir, "documents")))
 
@@ -29,6 +38,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secrets, op6_mixing, op7_sharding, op10_simhash)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+    SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM turns
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), cut AS (
+    SELECT *, replace(replace(replace(text, '\', '\\'), '</', '<\/'), '##', '#\#') AS safe,
+        replace(replace(replace(role, '\', '\\'), '</', '<\/'), '##', '#\#') AS safe_role,
+        before IS NULL OR before <> role AS opens
+    FROM marked
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(safe) + CASE WHEN opens THEN 19 + length(safe_role) ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM cut GROUP BY conv_id""",
+}
