@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import chat_format, mixing, secret_scan, sharding, simhash_dedup, token_count
+from chronolex.llm import ann_additive, chat_format, mixing, secret_scan, sharding, simhash_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann_additive.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op9_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
