@@ -40,12 +40,17 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, i
         at = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Letters, digits and all bytes of non-ASCII characters: words without the punctuation around them.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, within: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word and, for each text, where its words begin (n + 1 numbers)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = WORD[data]
+    inside = within[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     full = offsets[1:] > offsets[:-1]
