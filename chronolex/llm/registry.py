@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import ann_additive, chat_format, mixing, quality_fm, secret_scan, sharding, simhash_dedup, token_count
+from chronolex.llm import ann_additive, chat_format, mixing, quality_fm, secret_scan, sharding, simhash_dedup, token_count, toxicity_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -51,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import mixing, sharding, simhash_dedup
+from chronolex.llm import mixing, sharding, simhash_dedup, toxicity_chain
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain rejects go."""
+    return toxicity_chain.not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +27,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates), ("source mixing", mixture), ("sharding", shards)]
+STAGES = [("toxicity", toxicity), ("simhash near-dedup", near_duplicates), ("source mixing", mixture), ("sharding", shards)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
