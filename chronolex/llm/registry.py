@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import ann_additive, chat_format, mixing, quality_fm, secret_scan, sharding, simhash_dedup, token_count, toxicity_chain
+from chronolex.llm import ann_additive, chat_format, decontaminate, mixing, quality_fm, secret_scan, sharding, simhash_dedup, token_count, toxicity_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op5_decontaminate, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""

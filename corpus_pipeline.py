@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import mixing, sharding, simhash_dedup, toxicity_chain
+from chronolex.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity_chain
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.deduplicated(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for."""
     return mixing.repeated(docs)
@@ -27,7 +32,13 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs)
 
 
-STAGES = [("toxicity", toxicity), ("simhash near-dedup", near_duplicates), ("source mixing", mixture), ("sharding", shards)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("source mixing", mixture),
+    ("sharding", shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
