@@ -115,8 +115,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def allowed_url(url: Column, hosts: Sequence[str]) -> Column:
-    """https, a listed host, no credentials, no port but 443."""
+def allowed_url(url: Column, domains: Sequence[str]) -> Column:
+    """https, a listed domain or a host under it, no credentials, no port but 443."""
     host = F.regexp_extract(url, r"^https://([^/?#]*)", 1)
     name = F.lower(F.regexp_replace(host, r":443$", ""))
-    return F.coalesce(name.isin(*hosts) & ~F.contains(host, F.lit("@")), F.lit(False))
+    listed = F.lit(False)
+    for domain in domains:
+        listed = listed | (name == domain) | name.endswith("." + domain)
+    return F.coalesce(listed & ~host.rlike("[@:].*[@:]|@"), F.lit(False))
