@@ -136,9 +136,9 @@ def filter_allowed_url(t):
     return t.pages.select("page_id", X.allowed_url(F.col("url"), ("example.com", "example.org")).alias("allowed"))
 
 
-@query("filter_document_kind", """SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'act' WHEN p_type LIKE '%BRASS%' THEN 'decree' WHEN p_name LIKE '%a%' THEN 'rule' ELSE 'admin' END AS kind FROM part""")
+@query("filter_document_kind", """SELECT p_partkey, CASE WHEN p_type LIKE '%ECONOMY%' THEN 'act' WHEN p_type LIKE '%SMALL%' THEN 'decree' WHEN p_name LIKE '%a%' THEN 'rule' ELSE 'admin' END AS kind FROM part""")
 def filter_document_kind(t):
-    kind = F.when(F.contains("p_type", F.lit("STEEL")), "act").when(F.contains("p_type", F.lit("BRASS")), "decree").when(F.contains("p_name", F.lit("a")), "rule").otherwise("admin")
+    kind = F.when(F.contains("p_type", F.lit("ECONOMY")), "act").when(F.contains("p_type", F.lit("SMALL")), "decree").when(F.contains("p_name", F.lit("a")), "rule").otherwise("admin")
     return t.part.select("p_partkey", kind.alias("kind"))
 
 
