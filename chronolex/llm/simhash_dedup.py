@@ -278,7 +278,8 @@ def deduplicated(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: in
     name, own, fp_name = free_name(docs, "fp"), free_name(docs, "win"), free_name(docs, "wfp")
     rows = keep(with_fingerprints(docs.select("doc_id", "text"), "text", "fp", words, seed).select("doc_id", "fp").distinct(), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")
-    best = rows.join(_classes(rows, bits), "fp").groupBy("root").agg(F.min(order).alias("w"))
+    by_fp = rows.groupBy("fp").agg(F.min(order).alias("w"))
+    best = by_fp.join(_classes(rows, bits), "fp").groupBy("root").agg(F.min("w").alias("w"))
     best = best.select(F.col("w.doc_id").alias(own), F.col("w.fp").alias(fp_name))
     return (
         with_fingerprints(docs, "text", name, words, seed)
