@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolex.plans import base
 
-for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation"):
+for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation", "synchronisation"):
     importlib.import_module(f"chronolex.plans.{_name}")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -107,7 +107,7 @@ def nfkc_compact(c: Column) -> Column:
     return F.regexp_replace(nfkc_casefold(c), r"[^\p{L}\p{N}]", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of pairs that cheaper bounds have let through."""
     from difflib import SequenceMatcher

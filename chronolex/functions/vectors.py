@@ -21,7 +21,7 @@ def norm(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine clipped to [-1, 1]; null if a vector is zero or either holds something that isn't finite."""
     c = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-    return F.when(~F.isnan(c), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
 
 
 def is_finite(v: Column) -> Column:

@@ -47,7 +47,7 @@ def scan_current_vectors(t):
 
 @query("read_vector_text", """SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings""")
 def read_vector_text(t):
-    as_text = t.embeddings.select("vec_id", F.to_json("embedding").alias("v"))
+    as_text = t.embeddings.select("vec_id", F.to_json(V.doubles(F.col("embedding"))).alias("v"))
     parsed = as_text.withColumn("p", V.parse_vector(F.col("v")))
     return parsed.select("vec_id", F.size("p").cast("long").alias("dims"), F.round(F.element_at("p", 1), 6).alias("first"))
 

@@ -145,7 +145,7 @@ def read_vector_cache(spark: SparkSession, path: str, schema: str, key: str) ->
     A cache file is read as one value, for the order of its lines; large caches are folders of many files, whose names
     give the order between them.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.regexp_replace("value", r"\s+$", "").alias("value"))
     lines = files.select("_file", F.size(F.split("value", "\n")).alias("_n"), F.posexplode(F.split("value", "\n")).alias("_line", "_text")).where("trim(_text) <> ''")
     rows = lines.withColumn("_ok", F.try_parse_json("_text").isNotNull()).withColumn("r", F.from_json("_text", schema))
     torn = ~F.col("_ok") & (F.col("_line") == F.col("_n") - 1)
