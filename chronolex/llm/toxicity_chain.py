@@ -25,12 +25,12 @@ from chronolex.llm.durable import free_name, keep
 from chronolex.llm.labelled import sample
 
 CATEGORIES = ("insult", "coded", "toxic")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 6, 8)
 #: At most so many label rows are used to fit, and so many features.
-SAMPLE, FEATURES = 8000, 768
-#: A feature counts from so many documents on; it marks toxicity if so large a share of them is toxic, and is common if
-#: so large a share of the toxic documents has it.
-SUPPORT, MARK, COMMON = 6, 0.9, 0.1
+SAMPLE, FEATURES = 16_000, 768
+#: A feature may be chosen if so many documents have it and at least so large a share of them is toxic; it marks toxicity
+#: from the share MARK on, and is common if so large a share of the toxic documents has it.
+SUPPORT, LEAST_SHARE, MARK, COMMON = 3, 0.3, 0.9, 0.1
 FOLDS = 4
 THRESHOLD = 0.5
 SEED = 13
@@ -79,9 +79,9 @@ class Chain:
         return owner[ok], at[ok]
 
     def matrix(self, n: int, owner: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        x = np.zeros((n, len(self.hashes)), np.float32)
-        x[owner, slot] = 1
-        return x
+        """log2 of one more than the number of times that each text has each feature."""
+        width = len(self.hashes)
+        return np.log2(1 + np.bincount(owner * width + slot, minlength=n * width)).reshape(n, width).astype(np.float32)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         earlier = np.zeros((len(x), 0))
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
     p = F.col("ones") / F.col("n")
     term = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = F.col("n") * (term(p, share) + term(1 - p, 1 - share))
-    chosen = counts.where(F.col("n") >= SUPPORT).select("hash", "kind", "ones", p.alias("p"), gain.alias("gain")).orderBy(F.desc("gain"), "hash").limit(features).toPandas()
+    chosen = counts.where((F.col("n") >= SUPPORT) & (p >= LEAST_SHARE)).select("hash", "kind", "ones", p.alias("p"), gain.alias("gain")).orderBy(F.desc("gain"), "hash").limit(features).toPandas()
     chosen = chosen.assign(hash=chosen["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
     chain = Chain(chosen["hash"].to_numpy(np.uint64))
 
@@ -164,14 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
             for lo, hi, owner, hashes, _ in _by_text(batch, 1):
                 x = chain.matrix(hi - lo, *chain.slots(owner, hashes))
                 part = batch.slice(lo, hi - lo)
-                lists = pa.array([np.flatnonzero(row).astype(np.int32) for row in x], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "label", "slots"])
+                slots = [np.flatnonzero(row) for row in x]
+                lists = [pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), pa.array([row[s] for row, s in zip(x, slots, strict=True)], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "label", "slots", "values"])
 
     order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = some.mapInArrow(sparse, "doc_id long, label int, slots array<int>").withColumn("h", order).orderBy("h", "doc_id", "slots").limit(most).toPandas()
+    rows = some.mapInArrow(sparse, "doc_id long, label int, slots array<int>, values array<float>").withColumn("h", order).orderBy("h", "doc_id", "slots", "values").limit(most).toPandas()
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, slots in enumerate(rows["slots"]):
-        x[i, slots] = 1
+    for i, (slots, values) in enumerate(zip(rows["slots"], rows["values"], strict=True)):
+        x[i, slots] = values
     marks = (chosen["p"].to_numpy(np.float64) >= MARK).astype(np.float32)
     toxic = rows["label"].to_numpy(np.int64) > 0
     common = (chosen["kind"].to_numpy(np.int64) == 0) & (chosen["ones"].to_numpy(np.int64) >= COMMON * toxic.sum())
