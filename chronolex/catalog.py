@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolex.plans import base
 
-for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation", "synchronisation"):
+for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation", "synchronisation", "workflows"):
     importlib.import_module(f"chronolex.plans.{_name}")
 
 
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["filter_as_of"](spark, sf_dir)
+    return base.QUERIES["flagship_temporal_search"](spark, sf_dir)
