@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from chronolex.functions.text import collapse_whitespace, compact_date
 
-_LEAF = "array<struct<no:string,text:string>>"
 _ITEM = "array<struct<no:string,text:string,subitems:array<struct<no:string,text:string>>>>"
 _PARAGRAPH = f"array<struct<no:string,text:string,items:{_ITEM}>>"
+_NODES = "array<struct<path:string,parent_path:string,heading:string,content:string>>"
 #: The shape of a body; unknown fields are ignored, missing ones are null.
 BODY = f"struct<source_id:string,mst:string,title:string,effective_from:string,articles:array<struct<number:string,branch:string,kind:string,title:string,text:string,paragraphs:{_PARAGRAPH}>>>"
 
@@ -38,22 +38,38 @@ def flatten_tree(documents: DataFrame, key: str = "id") -> DataFrame:
     ``article`` (where a kind is given) are skipped, nodes without text are left out, their children keep their paths,
     and an article header that comes twice is emitted once.
     """
-    a = documents.select(key, F.posexplode("document.articles").alias("n1", "a")).where("a.kind is null or a.kind = 'article'")
-    a = a.withColumn("path1", F.concat(F.lit("a"), "a.number", F.coalesce(F.concat(F.lit("b"), F.nullif("a.branch", F.lit(""))), F.lit(""))))
-    p = a.select(key, "n1", "path1", F.posexplode("a.paragraphs").alias("n2", "p")).withColumn("path2", F.concat("path1", F.lit("/p"), "p.no"))
-    i = p.select(key, "n1", "n2", "path2", F.posexplode("p.items").alias("n3", "i")).withColumn("path3", F.concat("path2", F.lit("/i"), "i.no"))
-    s = i.select(key, "n1", "n2", "n3", "path3", F.posexplode("i.subitems").alias("n4", "s")).withColumn("path4", F.concat("path3", F.lit("/s"), "s.no"))
-    none = F.lit(-1)
-    rows = (
-        a.select(key, "n1", none.alias("n2"), none.alias("n3"), none.alias("n4"), F.col("path1").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.col("a.title").alias("heading"), F.col("a.text").alias("content"))
-        .unionByName(p.select(key, "n1", "n2", none.alias("n3"), none.alias("n4"), F.col("path2").alias("path"), F.col("path1").alias("parent_path"), F.lit(None).cast("string").alias("heading"), F.col("p.text").alias("content")))
-        .unionByName(i.select(key, "n1", "n2", "n3", none.alias("n4"), F.col("path3").alias("path"), F.col("path2").alias("parent_path"), F.lit(None).cast("string").alias("heading"), F.col("i.text").alias("content")))
-        .unionByName(s.select(key, "n1", "n2", "n3", "n4", F.col("path4").alias("path"), F.col("path3").alias("parent_path"), F.lit(None).cast("string").alias("heading"), F.col("s.text").alias("content")))
-    )
-    rows = rows.withColumn("content", collapse_whitespace("content")).where("coalesce(content, '') <> '' or heading is not null")
-    order = ["n1", "n2", "n3", "n4"]
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "path").orderBy(*order))).where("_n = 1")
-    return first.select(key, "path", "parent_path", "heading", "content", F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("ordinal"))
+    none = F.lit(None).cast("string")
+
+    def node(path: Column, parent: Column, heading: Column, content: Column) -> Column:
+        return F.struct(path.alias("path"), parent.alias("parent_path"), heading.alias("heading"), collapse_whitespace(content).alias("content"))
+
+    def below(nodes: Column, made) -> Column:
+        return F.coalesce(F.flatten(F.transform(nodes, made)), F.array().cast(_NODES))
+
+    def of_item(parent: Column):
+        def made(i: Column) -> Column:
+            path = F.concat(parent, F.lit("/i"), i["no"])
+            return F.concat(F.array(node(path, parent, none, i["text"])), below(i["subitems"], lambda s: F.array(node(F.concat(path, F.lit("/s"), s["no"]), path, none, s["text"]))))
+
+        return made
+
+    def of_paragraph(parent: Column):
+        def made(p: Column) -> Column:
+            path = F.concat(parent, F.lit("/p"), p["no"])
+            return F.concat(F.array(node(path, parent, none, p["text"])), below(p["items"], of_item(path)))
+
+        return made
+
+    def of_article(a: Column) -> Column:
+        path = F.concat(F.lit("a"), a["number"], F.coalesce(F.concat(F.lit("b"), F.nullif(a["branch"], F.lit(""))), F.lit("")))
+        nodes = F.concat(F.array(node(path, none, a["title"], a["text"])), below(a["paragraphs"], of_paragraph(path)))
+        return F.when(F.coalesce(a["kind"] == "article", F.lit(True)), nodes).otherwise(F.array().cast(_NODES))
+
+    # one pass over the parsed tree in document order, and one shuffle for both windows
+    rows = documents.select(key, F.posexplode(below(F.col("document.articles"), of_article)).alias("_at", "n")).select(key, "_at", "n.*")
+    rows = rows.where("coalesce(content, '') <> '' or heading is not null").repartition(key)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "path").orderBy("_at"))).where("_n = 1")
+    return first.select(key, "path", "parent_path", "heading", "content", F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("ordinal"))
 
 
 def regroup_flat(items: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
