@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out anew only if their files make fewer partitions than there are cores.
+
+    The number of partitions is read without any column. Large tables have more partitions and stay as they are.
+    """
+    docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    partitions = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return docs.repartition(cores) if partitions < cores else docs
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,11 +40,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.secrets(_table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.secrets(_documents(spark, sf_dir)))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminations(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +62,11 @@ def op8_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(_table(spark, sf_dir, "documents"))
+    return token_count.token_counts(_documents(spark, sf_dir))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.components(_table(spark, sf_dir, "documents"))
+    return simhash_dedup.components(_documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op5_decontaminate, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash)}
