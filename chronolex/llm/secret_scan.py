@@ -33,23 +33,36 @@ ALLOWED = (
 )
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; code points, end exclusive; hit: group 0."""
+_SPANS = "array<struct<start:int,end:int,hit:string>>"
+#: A running sum that keeps its steps copies them at each step; in blocks of so many matches that stays cheap for texts
+#: with hundreds of thousands of matches.
+BLOCK = 256
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; code points, end exclusive."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    begin = F.aggregate(
-        F.arrays_zip(whole.alias("hit"), F.slice(between, 1, F.size(whole)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("got")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + F.length(m["hit"])).alias("at"),
-            F.concat(
-                acc["got"],
-                F.array(F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + F.length(m["gap"]) + F.length(m["hit"])).alias("end"), m["hit"].alias("hit"))),
-            ).alias("got"),
-        ),
-        lambda acc: acc["got"],
-    )
-    return begin
+    pieces = F.arrays_zip(whole.alias("hit"), F.slice(between, 1, F.size(whole)).alias("gap"))
+    blocks = F.when(F.size(whole) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))))
+    zero = F.lit(0).alias("at")
+
+    def within(block: Column) -> Column:
+        """Spans relative to the block's begin, and the block's length."""
+
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + F.length(m["gap"])
+            end = start + F.length(m["hit"])
+            return F.struct(end.alias("at"), F.concat(acc["got"], F.array(F.struct(start.alias("start"), end.alias("end"), m["hit"].alias("hit")))).alias("got"))
+
+        return F.aggregate(block, F.struct(zero, F.array().cast(_SPANS).alias("got")), step)
+
+    def behind(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["got"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["hit"].alias("hit")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["got"], F.array(moved)).alias("got"))
+
+    placed = F.aggregate(F.transform(blocks, within), F.struct(zero, F.array().cast(f"array<{_SPANS}>").alias("got")), behind, lambda acc: F.flatten(acc["got"]))
+    return F.coalesce(placed, F.array().cast(_SPANS))
 
 
 def top_entropy(word: Column, window: int = WINDOW) -> Column:
