@@ -41,10 +41,11 @@ BLOCK = 256
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches; code points, end exclusive."""
+    # a lambda evaluates what it captures anew for each element, so values used more than once are bound as elements
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(whole.alias("hit"), F.slice(between, 1, F.size(whole)).alias("gap"))
-    blocks = F.when(F.size(whole) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))))
+    pieces = bound(whole, lambda w: F.arrays_zip(w.alias("hit"), F.slice(F.split(text, pattern, -1), 1, F.size(w)).alias("gap")))
+    numbers = lambda p: F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int"))
     zero = F.lit(0).alias("at")
 
     def within(block: Column) -> Column:
@@ -61,8 +62,12 @@ def matches(text: Column, pattern: str) -> Column:
         moved = F.transform(block["got"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["hit"].alias("hit")))
         return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["got"], F.array(moved)).alias("got"))
 
-    placed = F.aggregate(F.transform(blocks, within), F.struct(zero, F.array().cast(f"array<{_SPANS}>").alias("got")), behind, lambda acc: F.flatten(acc["got"]))
-    return F.coalesce(placed, F.array().cast(_SPANS))
+    def placed(p: Column) -> Column:
+        blocks = F.transform(numbers(p), lambda b: within(F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+        spans = F.aggregate(blocks, F.struct(zero, F.array().cast(f"array<{_SPANS}>").alias("got")), behind, lambda acc: F.flatten(acc["got"]))
+        return F.when(F.size(p) > 0, spans).otherwise(F.array().cast(_SPANS))
+
+    return bound(pieces, placed)
 
 
 def top_entropy(word: Column, window: int = WINDOW) -> Column:
