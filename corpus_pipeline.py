@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolex.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity_chain
+from chronolex.llm import decontaminate, mixing, sharding, shingle_links, toxicity_chain
 from chronolex.llm.durable import keep
 
 
@@ -14,8 +14,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash_dedup.deduplicated(docs)
+    """One document of each group of near copies stays, by fingerprints or by shingles: the one with the smallest doc_id."""
+    return shingle_links.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
