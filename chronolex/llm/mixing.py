@@ -15,13 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.durable import keep
+from chronolex.llm.durable import free_name, keep
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 11
 #: About as many documents share a hash bucket; only one bucket of a source is gone through in order.
 BUCKET_DOCS = 256
+#: Most hash buckets of a source. A source of more than MOST_BUCKETS * BUCKET_DOCS (some 2.7e8) documents has larger ones, and
+#: the one that is gone through in order grows with it: 10,000 documents for a source of 1e10.
+MOST_BUCKETS = 1 << 20
 #: Sources up to this number are broadcast (some 100 bytes each), beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -35,6 +38,7 @@ def word_count(text: str = "text") -> Column:
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, share: float = 1.0) -> DataFrame:
     """``sizes`` (source, source_size) with weight and target.
 
+    All sources, one narrow row each, pass one task of window functions: their order decides the weights and the fill.
     Weights go by code point of the source, null last, repeating. Targets add up to ``share`` of all words unless
     every source is at its cap. A source without words has the target 0.
     """
@@ -76,7 +80,7 @@ def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: in
         aims.withColumn("_whole", whole).select(
             F.col("source").alias("_source"), "source_size", "target", "_whole",
             F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long").alias("_need"),
-            F.least(F.ceil(F.col("n") / F.lit(bucket_docs)), F.lit(1 << 20)).cast("long").alias("_buckets"),
+            F.least(F.ceil(F.col("n") / F.lit(bucket_docs)), F.lit(MOST_BUCKETS)).cast("long").alias("_buckets"),
         ),
         "aims",
     )
@@ -115,8 +119,9 @@ def _times(rows: DataFrame, plan: DataFrame, got: DataFrame, small: bool) -> Dat
     one = (F.col("_bucket") <= F.col("_full_to")) & (F.col("_size") > 0)
     rest = placed.where(~at_edge).withColumn("_times", F.col("_whole") + one.cast("int"))
     same = Window.partitionBy("_src", "_hash", "doc_id").orderBy(F.lit(0))
+    # Spark broadcasts the written table of the edge buckets only if its size allows it
     edge = placed.where(at_edge).join(
-        F.broadcast(got) if small else got, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        got, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     )
     edge = edge.withColumn("_times", F.col("_whole") + (F.row_number().over(same) <= F.col("_k")).cast("int")).drop("_s", "_h", "_d", "_k")
     return rest.unionByName(edge)
@@ -137,16 +142,16 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = E
 def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, share: float = 1.0, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-    Columns named like those that this module works with are renamed meanwhile.
+    Columns named like those that this module works with have another name meanwhile.
     """
-    clash = [c for c in docs.columns if c.lower() in _ADDED]
-    if clash:
-        docs = docs.select(*[F.col(f"`{c}`").alias(f"{c}{_SUFFIX}" if c in clash else c) for c in docs.columns])
+    own = docs.columns
+    for c in own:
+        if c.lower() in _ADDED:
+            docs = docs.withColumnRenamed(c, free_name(docs, f"own_{c}"))
     _, plan, got, small = decisions(docs, weights, epochs, seed, share, bucket_docs)
     done = _times(docs.select("*", *_measured(docs, seed), word_count().alias("_size")), plan, got, small)
-    names = [F.col(f"`{c}`").alias(c.removesuffix(_SUFFIX)) for c in docs.columns]
+    names = [F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, own, strict=True)]
     return done.where("_times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*names)
 
 
-_SUFFIX = "__own"
 _ADDED = {"_src", "_hash", "_size", "_source", "source_size", "target", "_whole", "_buckets", "_full_to", "_edge", "_room", "_bucket", "_times", "_s", "_h", "_d", "_k", "_copy"}
