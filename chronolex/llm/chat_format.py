@@ -8,7 +8,7 @@ backslash before any character undoes it. The loss mask is given as run lengths
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ ROLE_END = "</role>"
 PART = "</part>"
 TURN_END = "</turn>\n"
 LOSS_ROLES = ("assistant",)
+#: Runs of a mask that are cut out of one stretch of text.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -58,8 +60,35 @@ def formatted(turns: DataFrame, loss_roles: Sequence[str] = LOSS_ROLES) -> DataF
     )
 
 
-def read_back(chats: DataFrame, loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
-    """``chats`` (conv_id, text, ...) with turns: array<struct<role, text>> and loss: all text under the loss mask."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, evaluated once; a lambda evaluates what it captures anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def under_mask(text: Column, mask: Column) -> Column:
+    """All of ``text`` under the loss runs of ``mask``, as it stands.
+
+    The text is cut twice, into stretches of BLOCK runs and each of them into its runs, so that neither finding a place
+    in a text nor appending to a list costs the square of a very long conversation.
+    """
+    reached = F.lit(0).alias("at"), F.array().cast("array<string>").alias("got")
+
+    def cut(acc: Column, chars: Column, whole: Column, use: Callable[[Column], Column]) -> Column:
+        part = _bound(F.substring(whole, acc["at"] + 1, chars), use)
+        return F.struct((acc["at"] + chars).alias("at"), F.concat(acc["got"], F.array(part)).alias("got"))
+
+    def stretch(runs: Column) -> Callable[[Column], Column]:
+        one = lambda whole: lambda acc, r: cut(acc, r["chars"], whole, lambda part: F.when(r["loss"], part).otherwise(""))
+        return lambda whole: F.aggregate(runs, F.struct(*reached), one(whole), lambda acc: F.array_join(acc["got"], ""))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / BLOCK).cast("int")), lambda b: F.slice(mask, b * BLOCK + 1, F.lit(BLOCK)))
+    chars = lambda runs: F.aggregate(runs, F.lit(0), lambda n, r: n + r["chars"])
+    step = lambda acc, runs: _bound(chars(runs), lambda n: cut(acc, n, text, stretch(runs)))
+    return F.when(F.size(mask) > 0, F.aggregate(blocks, F.struct(*reached), step, lambda acc: F.array_join(acc["got"], ""))).otherwise("")
+
+
+def read_back(chats: DataFrame) -> DataFrame:
+    """``chats`` (conv_id, text, mask) with turns: array<struct<role, text>> and loss: all text under the mask, unescaped."""
     blocks = F.split(F.col("text"), TURN_END, -1)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
@@ -69,8 +98,7 @@ def read_back(chats: DataFrame, loss_roles: Sequence[str] = LOSS_ROLES) -> DataF
         return F.transform(F.split(F.get(at, F.lit(1)), PART, -1), lambda part: F.struct(role.alias("role"), unescape(part).alias("text")))
 
     turns = chats.withColumn("turns", F.flatten(F.transform(blocks, opened)))
-    kept = F.filter("turns", lambda t: t["role"].isin(*loss_roles))
-    return turns.withColumn("loss", F.array_join(F.transform(kept, lambda t: t["text"]), ""))
+    return turns.withColumn("loss", unescape(under_mask(F.col("text"), F.col("mask"))))
 
 
 def digest(chats: DataFrame) -> DataFrame:
