@@ -25,6 +25,8 @@ FACTORS = 6
 SAMPLE = 6000
 SEED = 3
 FOLDS, HELD_OUT = 3, 1
+#: Texts of one numpy pass, which holds BUCKETS counts of each.
+PASS_ROWS = 2048
 
 _CLASSES = 9
 _CLASS = np.zeros(256, np.int64)  # 0: other ASCII punctuation and control characters
@@ -127,7 +129,7 @@ def train(words: np.ndarray, figures: np.ndarray, label: np.ndarray, factors: in
 def _figures(batch: pa.RecordBatch, text: int, chars: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = T.flat(batch.column(text))
     n_chars = batch.column(chars).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
-    for lo, hi in T.passes(offsets):
+    for lo, hi in T.passes(offsets, rows=PASS_ROWS):
         own = offsets[lo : hi + 1]
         yield lo, hi, *structure(data[own[0] : own[-1]], own - own[0], n_chars[lo:hi])
 
@@ -135,7 +137,7 @@ def _figures(batch: pa.RecordBatch, text: int, chars: int) -> Iterator[tuple[int
 def _with_metadata(docs: DataFrame) -> DataFrame:
     """The text and the one piece of metadata that may be an input, the recorded length (0 where there is none)."""
     chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(0.0)
-    return docs.select("doc_id", "text", chars.alias("n_chars"), *(["_label"] if "_label" in docs.columns else []))
+    return docs.select("doc_id", "text", chars.alias("n_chars"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED) -> Model:
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *lists], names=["doc_id", "label", "words", "figures"])
 
     train_labels = labels.where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = _with_metadata(sample(docs, train_labels, "quality", most, seed)).mapInArrow(each, "doc_id long, label int, words array<int>, figures array<double>")
+    rows = sample(_with_metadata(docs), train_labels, "quality", most, seed, "label").mapInArrow(each, "doc_id long, label int, words array<int>, figures array<double>")
     rows = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "figures").limit(most).toPandas()
     words = np.zeros((len(rows), BUCKETS), np.int8)
     for i, w in enumerate(rows["words"]):

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: The six ASCII white space characters that separate words: space and 0x09-0x0D.
 WORD = np.ones(256, dtype=bool)
@@ -30,12 +32,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most ``most`` bytes together, or a single text."""
+def passes(offsets: np.ndarray, most: int = PASS_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts with at most ``most`` bytes together, or a single text."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, max(end, at + 1), at + (rows or n))
         yield at, end
         at = end
 
@@ -99,3 +101,8 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
             own += (data[at + j].astype(np.uint64) + np.uint64(1)) * table[j]
         h[longer] = mix(own)
     return h
+
+
+def schema_of(df: DataFrame, column: str, **added: str) -> StructType:
+    """The schema of one column of ``df`` and of columns by name and type."""
+    return StructType([df.schema[column], *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items())).fields])

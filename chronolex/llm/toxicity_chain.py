@@ -1,12 +1,13 @@
 """Toxicity by a classifier chain: each category's linear model also reads the probabilities of the ones before it.
 
 Features are the words of a text and the first bytes of its longer words, by 64-bit hash; the ones that tell toxic from
-other labelled documents best are counted and chosen by Spark. In training, the earlier probabilities come out of
-fold: from models that didn't see the document. In scoring, the chain's links are applied in order.
+other labelled documents best are counted and chosen by Spark. In training, the earlier probabilities come out of fold:
+a fold's probabilities are those of models, on features chosen and counted, that saw no document of the fold. Folds go
+by text, so copies are in one. In scoring, the chain's links are applied in order.
 
 ``labels`` has one flag, toxic. The chain's first categories split it by evidence: ``insult`` if a toxic document has a
 whole word that marks toxicity and is common among toxic documents, ``coded`` if it has only rarer words or beginnings
-of words that do. The last, ``toxic``, decides.
+of words that do, as far as the documents of the other folds show. The last, ``toxic``, decides.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,74 +114,110 @@ def linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4)
     return w, bias
 
 
-def train(chain: Chain, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
-    """Fit the links on features ``x``, labels ``y`` (a column for each category) and the documents' folds."""
+def train(chain: Chain, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS, columns: Sequence[np.ndarray] | None = None) -> Chain:
+    """Fit the links on features ``x``, labels ``y`` (a column for each category) and the documents' folds.
+
+    ``columns`` has the columns of ``x`` that each fold's models may read, chosen without that fold, and last those of
+    the chain itself.
+    """
+    columns = columns or [np.arange(x.shape[1])] * (folds + 1)
     earlier = np.zeros((len(x), 0), np.float32)
     for c in range(y.shape[1]):
-        whole = np.concatenate([x, earlier], axis=1)
-        chain.links.append(linear(whole, y[:, c]))
+        chain.links.append(linear(np.concatenate([x[:, columns[-1]], earlier], axis=1), y[:, c]))
         out = np.zeros(len(x), np.float32)
         for k in range(folds):
-            w, bias = linear(whole[fold != k], y[fold != k, c])
-            out[fold == k] = logistic(whole[fold == k] @ w + bias)
+            own, other = fold == k, fold != k
+            w, bias = linear(np.concatenate([x[other][:, columns[k]], earlier[other]], axis=1), y[other, c])
+            out[own] = logistic(np.concatenate([x[own][:, columns[k]], earlier[own]], axis=1) @ w + bias)
         earlier = np.column_stack([earlier, out])
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int = FEATURES, seed: int = SEED) -> Chain:
-    """Learn the chain from at most ``most`` rows of ``labels`` (doc_id, toxic) and their ``docs`` (doc_id, text)."""
-    some = keep(sample(docs.select("doc_id", "text"), labels, "toxic", most, seed).select("doc_id", "text", "_label"), "labelled")
+def _counts(some: DataFrame, folds: int) -> DataFrame:
+    """hash, kind and, for each fold and as a last figure for all of them, how many texts have it and how many are toxic."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(2).to_numpy(zero_copy_only=False)
+            toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            fold = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, owner, hashes, kind in _by_text(batch, 1):
                 order = np.lexsort((owner, hashes))
                 h, o, k = hashes[order], owner[order], kind[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
                 h, o, k = h[new], o[new], k[new]
-                begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                if not len(begin):
+                if not len(h):
                     continue
-                ones = toxic[lo:hi][o].astype(np.int64)
-                n = np.diff(np.append(begin, len(h)))
+                begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                own = fold[lo:hi][o]
+                n = [np.add.reduceat((own == f).astype(np.int64), begin) for f in range(folds)]
+                ones = [np.add.reduceat((own == f) * toxic[lo:hi][o], begin) for f in range(folds)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[begin].view(np.int64)), pa.array(k[begin].astype(np.int32)), pa.array(n), pa.array(np.add.reduceat(ones, begin))], names=["hash", "kind", "n", "ones"]
+                    [pa.array(h[begin].view(np.int64)), pa.array(k[begin].astype(np.int32)), *map(pa.array, n), *map(pa.array, ones)], names=["hash", "kind", *sums]
                 )
 
-    counts = some.mapInArrow(counted, "hash long, kind int, n long, ones long").groupBy("hash").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    said = some.agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).first()
-    share = F.lit(((said["ones"] or 0) + 0.5) / (said["n"] + 1))
-    # signed log likelihood ratio of the feature's share of toxic documents against the share of all
-    p = F.col("ones") / F.col("n")
-    term = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    gain = F.col("n") * (term(p, share) + term(1 - p, 1 - share))
-    chosen = counts.where((F.col("n") >= SUPPORT) & (p >= LEAST_SHARE)).select("hash", "kind", "ones", p.alias("p"), gain.alias("gain")).orderBy(F.desc("gain"), "hash").limit(features).toPandas()
-    chosen = chosen.assign(hash=chosen["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
-    chain = Chain(chosen["hash"].to_numpy(np.uint64))
+    sums = [f"{c}{f}" for c in ("n", "ones") for f in range(folds)]
+    found = some.mapInArrow(counted, "hash long, kind int, " + ", ".join(f"{c} long" for c in sums))
+    return found.groupBy("hash").agg(F.min("kind").alias("kind"), *[F.sum(c).alias(c) for c in sums])
+
+
+def _chosen(counts: DataFrame, said: Sequence[tuple[int, int]], features: int) -> pd.DataFrame:
+    """The ``features`` best hashes by the counts outside each fold, and by all counts: hash, kind, without, ones, p."""
+    folds = len(said)
+    whole = [sum(v) for v in zip(*said, strict=True)]
+    out = None
+    for f in range(folds + 1):
+        of = lambda c: sum((F.col(f"{c}{g}") for g in range(folds) if g != f), F.lit(0))  # noqa: B023, E731
+        total, toxic = (w - (said[f][i] if f < folds else 0) for i, w in enumerate(whole))
+        share = F.lit((toxic + 0.5) / (total + 1))
+        n, ones = of("n"), of("ones")
+        p = ones / n
+        # signed log likelihood ratio of the feature's share of toxic documents against the share of all
+        term = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+        gain = n * (term(p, share) + term(1 - p, 1 - share))
+        best = counts.where((n >= SUPPORT) & (p >= LEAST_SHARE)).select(F.lit(f).alias("without"), "hash", "kind", ones.alias("ones"), p.alias("p"), gain.alias("gain"))
+        best = best.orderBy(F.desc("gain"), "hash").limit(features)
+        out = best if out is None else out.unionByName(best)
+    table = out.toPandas()
+    return table.assign(hash=table["hash"].to_numpy(np.int64).view(np.uint64)).sort_values(["without", "hash"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int = FEATURES, seed: int = SEED, folds: int = FOLDS) -> Chain:
+    """Learn the chain from at most ``most`` rows of ``labels`` (doc_id, toxic) and their ``docs`` (doc_id, text)."""
+    some = sample(docs.select("doc_id", "text"), labels, "toxic", most, seed, "label")
+    # copies of a text are in one fold
+    some = keep(some.select("doc_id", "text", "label", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))), F.lit(folds)).cast("int").alias("fold")), "labelled")
+    by_fold = {r["fold"]: (r["n"], r["ones"]) for r in some.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).collect()}
+    chosen = _chosen(keep(_counts(some, folds), "counts"), [by_fold.get(f, (0, 0)) for f in range(folds)], features)
+    hashes = np.unique(chosen["hash"].to_numpy(np.uint64))
+    everything = Chain(hashes)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, owner, hashes, _ in _by_text(batch, 1):
-                x = chain.matrix(hi - lo, *chain.slots(owner, hashes))
+            for lo, hi, owner, found, _ in _by_text(batch, 1):
+                x = everything.matrix(hi - lo, *everything.slots(owner, found))
                 part = batch.slice(lo, hi - lo)
                 slots = [np.flatnonzero(row) for row in x]
                 lists = [pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), pa.array([row[s] for row, s in zip(x, slots, strict=True)], pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "label", "slots", "values"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *lists], names=["doc_id", "label", "fold", "slots", "values"])
 
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = some.mapInArrow(sparse, "doc_id long, label int, slots array<int>, values array<float>").withColumn("h", order).orderBy("h", "doc_id", "slots", "values").limit(most).toPandas()
-    x = np.zeros((len(rows), len(chosen)), np.float32)
+    schema = T.schema_of(some, "doc_id", label="int", fold="int", slots="array<int>", values="array<float>")
+    rows = some.mapInArrow(sparse, schema).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id", "slots", "values").limit(most).toPandas()
+    x = np.zeros((len(rows), len(hashes)), np.float32)
     for i, (slots, values) in enumerate(zip(rows["slots"], rows["values"], strict=True)):
         x[i, slots] = values
-    marks = (chosen["p"].to_numpy(np.float64) >= MARK).astype(np.float32)
-    toxic = rows["label"].to_numpy(np.int64) > 0
-    common = (chosen["kind"].to_numpy(np.int64) == 0) & (chosen["ones"].to_numpy(np.int64) >= COMMON * toxic.sum())
-    whole = toxic & (x @ (marks * common) > 0)
-    begun = toxic & ~whole & (x @ marks > 0)
-    fold = rows["h"].to_numpy(np.int64) % FOLDS
-    return train(chain, x, np.column_stack([whole, begun, toxic]).astype(np.float32), fold)
+    toxic, fold = rows["label"].to_numpy(np.int64) > 0, rows["fold"].to_numpy(np.int64)
+    whole, begun, columns = np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
+    for f in range(folds + 1):
+        mine = chosen[chosen["without"] == f]
+        at = np.searchsorted(hashes, mine["hash"].to_numpy(np.uint64))
+        columns.append(at)
+        marks = mine["p"].to_numpy(np.float64) >= MARK
+        common = marks & (mine["kind"].to_numpy(np.int64) == 0) & (mine["ones"].to_numpy(np.int64) >= COMMON * toxic[fold != f].sum())
+        own = (fold == f) & toxic  # none for the last, whose features are the chain's
+        whole[own] = (x[own][:, at[common]] > 0).any(axis=1)
+        begun[own] = ~whole[own] & (x[own][:, at[marks]] > 0).any(axis=1)
+    return train(Chain(hashes[columns[-1]]), x, np.column_stack([whole, begun, toxic]).astype(np.float32), fold, folds, columns)
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, names: Sequence[str]) -> DataFrame:
