@@ -3,12 +3,14 @@
 Places of matches come from cutting the text at the pattern: the pieces between matches and the matches alternate, so
 running sums of their lengths give every start. A candidate for the entropy scan is a long run of one character
 class that mixes letters and digits; a window slides over it and keeps a count for each character and the running sum
-of c log2 c, from which the window's entropy follows in constant time. All of it is DataFrame expressions.
+of c log2 c, from which the window's entropy follows in constant time. Runs of letters alone aren't candidates: they are
+words and names far more often than keys. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,15 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 #: Candidates: runs of the base64 class, URL-safe letters included, of at least WINDOW characters.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: The characters of a candidate without its padding.
+ALPHABET = string.ascii_letters + string.digits + "+/_-"
 WINDOW = 20
 #: Least entropy in bits of some window, by class: hexadecimal, alphanumeric, base64. At most log2(WINDOW) = 4.32.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 #: Candidates that are left alone: hyphenated UUIDs, dates and ISO times, paths and words joined by one sign.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"\d{4}-\d{2}-\d{2}[A-Za-z0-9_-]*",
+    r"\d{4}-\d{2}-\d{2}(?:[T_-]\d{2}-?\d{2}(?:-?\d{2}(?:-?\d{1,9})?)?Z?)?",
     r"/?(?:[A-Za-z]{2,}|\d{1,8})(?:[/_-](?:[A-Za-z]{2,}|\d{1,8}))+/?",
 )
 
@@ -71,25 +75,37 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def top_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits by character, of ``word``'s windows of ``window`` ASCII characters.
+    """The largest Shannon entropy, in bits by character, of ``word``'s windows of ``window`` characters of ALPHABET.
 
-    The fold keeps the counts of the window's characters as an array over the alphabet, and the sum of c log2 c, which
-    a character that enters or leaves changes by one difference; the entropy is log2(n) - sum / n.
+    The fold keeps the counts of the window's characters, five bits each and twelve to a long, and the sum of c log2 c.
+    A character that enters or leaves changes one count and one difference of that sum, so a step costs the same
+    whatever the window; the entropy is log2(n) - sum / n. Characters outside of ALPHABET count as one and the same.
     """
+    if not 0 < window < 31:
+        raise ValueError("a count of the window has five bits")
+    call = F.call_function
     table = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(window + 2)])
-    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c))
+    # place of a character's count: which long, and the bits below it
+    number = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(len(ALPHABET) + 1)) - 1
+    codes = F.transform(F.split(word, ""), number)
     moves = F.arrays_zip(codes.alias("enters"), F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), 1, F.length(word)).alias("leaves"))
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(float("inf")).alias("least")
+        F.array_repeat(F.lit(0).cast("long"), -(-(len(ALPHABET) + 1) // 12)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(float("inf")).alias("least")
     )
+    long_of = lambda code: F.floor(code / 12).cast("int")
+    bits_of = lambda code: F.pmod(code, F.lit(12)) * 5
+    one = lambda code: call("shiftleft", F.lit(1).cast("long"), bits_of(code))
+    count = lambda n, code: call("shiftright", F.get(n, long_of(code)), bits_of(code)).bitwiseAND(F.lit(31).cast("long")).cast("int")
 
     def step(acc: Column, m: Column) -> Column:
         enters, leaves = m["enters"], m["leaves"]
-        c = F.get(acc["n"], enters)
+        c = count(acc["n"], enters)
         after = acc["sum"] + F.get(table, c + 1) - F.get(table, c)
-        d = F.get(acc["n"], leaves) + F.when(leaves == enters, 1).otherwise(0)
+        d = count(acc["n"], leaves) + F.when(leaves == enters, 1).otherwise(0)
         after = after + F.when(leaves >= 0, F.get(table, d - 1) - F.get(table, d)).otherwise(0.0)
-        n = F.transform(acc["n"], lambda x, k: x + (k == enters).cast("int") - (k == leaves).cast("int"))
+        n = F.transform(
+            acc["n"], lambda x, k: x + F.when(k == long_of(enters), one(enters)).otherwise(F.lit(0).cast("long")) - F.when((leaves >= 0) & (k == long_of(leaves)), one(leaves)).otherwise(F.lit(0).cast("long"))
+        )
         return F.struct(n.alias("n"), after.alias("sum"), (acc["seen"] + 1).alias("seen"), F.when(acc["seen"] + 1 >= window, F.least(acc["least"], after)).otherwise(acc["least"]).alias("least"))
 
     return F.aggregate(moves, start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
