@@ -104,13 +104,32 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-scores[at], kind="stable")]
 
 
+def _distinct(x: np.ndarray, most: int) -> np.ndarray:
+    """Rows of ``x`` without those that have ``most`` equal rows before them, in order.
+
+    Equal vectors have equal scores and ties go to the smaller id, so no other row of theirs can be an answer, and a
+    vector that is repeated very often can't fill a shortlist.
+    """
+    if len(x) <= most:
+        return np.arange(len(x))
+    rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, of = np.unique(rows, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    sizes = np.bincount(of)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.sort(order[place < most])
+
+
 def _search(codebooks: np.ndarray, shortlist: int, nearest: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """left: a candidate block (vec_id, codes, length, embedding); right: a query block (vec_id, embedding)."""
     columns = ["query_id", "vec_id", "score"]
     if not len(left) or not len(right):
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype=object), "score": pd.Series(dtype=object)})
     left = left.sort_values("vec_id", kind="stable")
-    ids, x, y = left["vec_id"].to_numpy(), _vectors(left["embedding"]), _vectors(right["embedding"])
+    x, y = _vectors(left["embedding"]), _vectors(right["embedding"])
+    few = _distinct(x, nearest + 1)
+    left, x = left.iloc[few], x[few]
+    ids = left["vec_id"].to_numpy()
     books, words, _ = codebooks.shape
     codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(-1, books)
     # a code sum of other length than its vector's is scaled to it
@@ -135,8 +154,9 @@ def search(table: DataFrame, queries: DataFrame, nearest: int = NEAREST, shortli
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id. A row is no candidate of a
     query with its vec_id. Vectors that are null, zero, hold null or non-finite components, or have another
-    dimension than the most frequent one, take no part, nor do rows without a vec_id; vec_id must be unique. Other
-    columns are ignored. Without usable rows the result is empty.
+    dimension than the most frequent one, take no part, nor do rows without a vec_id. Of usable rows that share a
+    vec_id one takes part, in ``table`` as in ``queries``: the one whose vector comes first in the order of arrays.
+    Other columns are ignored. Without usable rows the result is empty.
     """
     spark = table.sparkSession
     usable = F.coalesce(
@@ -149,6 +169,9 @@ def search(table: DataFrame, queries: DataFrame, nearest: int = NEAREST, shortli
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows, asked = rows.where(F.size("embedding") == sizes["d"]), asked.where(F.size("embedding") == sizes["d"])
+    # min() over arrays: the rows of an id meet once, whole ids apart from each other
+    single = lambda df: df.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows, asked = single(rows), single(asked)
     some = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
     codebooks = fit_codebooks(_vectors(some["embedding"]), seed=seed)
 
