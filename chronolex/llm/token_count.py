@@ -8,6 +8,7 @@ rank, so merging all places at once gives what merging one after the other gives
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -18,9 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chronolex.llm import textarrays as T
+
 LIMIT = 2048
 #: Pre-tokens whose counts a Python worker remembers; when more are met it starts anew.
 REMEMBERED = 300_000
+#: Bytes from which on a pre-token is merged by itself, with its ranks kept between rounds.
+LONG = 512
 
 _NONE = np.iinfo(np.int64).max
 
@@ -32,7 +37,7 @@ def default_vocabulary() -> str:
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    """Fixed values of byte-level vocabulary files. The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -61,6 +66,7 @@ class Bpe:
         special = [t["content"] for t in rules["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.seen: dict[str, int] = {}
+        self.entry: dict[int, int] | None = None
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of ``text`` and the number of special strings in it, which are tokens by themselves."""
@@ -75,9 +81,60 @@ class Bpe:
         # lower() looks at neighbours for the capital sigma only
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def long_count(self, raw: bytes) -> int:
+        """The number of symbols that survive in one long pre-token.
+
+        Rounds are those of ``counts``. Ranks are kept from round to round, by rank with the places of their pairs; a
+        merge looks up the two pairs it makes and no others, so the cost doesn't grow with the number of rounds.
+        """
+        flat = np.frombuffer(raw, np.uint8)
+        first = self.inner[flat]
+        first[-1] = self.final[flat[-1]]
+        pair = (first[:-1] << 20) | first[1:]
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        known = np.flatnonzero(self.key[at] == pair)
+        places: dict[int, list[int]] = {}
+        for place, entry in zip(known.tolist(), at[known].tolist(), strict=True):
+            places.setdefault(entry, []).append(place)
+        if self.entry is None:
+            self.entry = {k: i for i, k in enumerate(self.key.tolist())}
+        entry_of, rank, made, key = self.entry.get, self.rank, self.made, self.key
+        ranks = [(int(rank[e]), e) for e in places]
+        heapq.heapify(ranks)
+        symbols, n = first.tolist(), len(first)
+        after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
+        while ranks:
+            _, e = heapq.heappop(ranks)
+            new, a, b = int(made[e]), int(key[e]) >> 20, int(key[e]) & ((1 << 20) - 1)
+            for p in sorted(places.pop(e, ())):
+                q = after[p]
+                if symbols[p] != a or q >= n or symbols[q] != b:  # gone or merged meanwhile
+                    continue
+                symbols[p], symbols[q] = new, -1
+                left -= 1
+                r = after[p] = after[q]
+                if r < n:
+                    before[r] = p
+                for s, t in ((before[p], p), (p, r)):
+                    if s >= 0 and t < n:
+                        found = entry_of((symbols[s] << 20) | symbols[t])
+                        if found is not None:
+                            if found not in places:
+                                places[found] = []
+                                heapq.heappush(ranks, (int(rank[found]), found))
+                            places[found].append(s)
+        return left
+
     def counts(self, words: list[str]) -> np.ndarray:
         """The number of symbols that survive in each of ``words`` (none is empty)."""
         raw = [w.encode() for w in words]
+        long = [i for i, r in enumerate(raw) if len(r) > LONG]
+        if long:
+            out = np.empty(len(words), np.int64)
+            short = np.setdiff1d(np.arange(len(words)), long)
+            out[short] = self.counts([words[i] for i in short]) if len(short) else 0
+            out[long] = [self.long_count(raw[i]) for i in long]
+            return out
         lengths = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[flat]
@@ -129,7 +186,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """doc_id, n_bytes, n_tokens and over_limit of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``path`` is a tokenizer file that every executor has. Counts are without begin and end tokens; special strings in
-    a text are one token each. Null and empty texts have no bytes and no tokens; repeated rows are each returned; an
+    a text are one token each. doc_id keeps its type. Null and empty texts have no bytes and no tokens; repeated rows are each returned; an
     empty table gives an empty result.
     """
     path = path or default_vocabulary()
@@ -145,4 +202,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(each, T.schema_of(docs, "doc_id", n_bytes="long", n_tokens="long", over_limit="boolean"))
