@@ -4,12 +4,17 @@ Texts are compared in a plain form: lower case, one space for what isn't a lette
 UTF-8 bytes. If an item of m bytes occurs with at most k edits, then at least m - q + 1 - k q of its q-grams occur in
 the document on diagonals (place in the document less place in the item) at most k apart. So shared q-grams are
 counted in diagonal bands of width 2 k that overlap by k; a band with fewer of them than the bound is dropped, and
-what is left is verified by an alignment that stays inside the band.
+what is left is verified by an alignment that stays inside the band. Items for which the bound of 8-grams says too
+little have 4-grams; items of fewer than SHORT plain bytes are looked for as whole words, without edits.
+
+A document is gone through from front to back: hits are counted some millions at a time, and a band is settled as soon
+as the text is past it. Regions of a document that are equal byte by byte are aligned once.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.llm import textarrays as T
+from chronolex.llm.durable import keep
 
-Q = 8
+#: Lengths of grams, the longer one where at least LEAST_GRAMS shared grams are asked for.
+Q, Q_SMALL, LEAST_GRAMS = 8, 4, 4
+#: Plain bytes below which an item has to occur exactly and as whole words.
+SHORT = 8
 #: Edits allowed, as a share of an item's length in bytes.
 EDITS = 0.1
-#: The bound on shared q-grams isn't let fall below this; short items get fewer edits instead.
-LEAST_GRAMS = 4
-#: Bytes of benchmark text that the tasks hold at once; a larger benchmark is gone through in slices.
+#: Bytes of benchmark text that the driver and the tasks hold at once; a larger benchmark is gone through in slices.
 SLICE_BYTES = 8 << 20
+#: Gram hits counted in one numpy pass, and cells of one alignment pass.
+HITS, CELLS = 1 << 21, 1 << 22
 
 _PLAIN = np.where(T.LETTERS, T.LOWER, 0x20).astype(np.uint8)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -59,53 +68,53 @@ def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, own
 
 
-def grams(text: np.ndarray) -> np.ndarray:
-    """The Q bytes from each place on, as one number."""
-    n = len(text) - Q + 1
-    return np.ndarray((max(n, 0),), "<u8", np.ascontiguousarray(text).tobytes(), strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint64)
-
-
-def edits_within(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int | None:
-    """The fewest edits, if at most ``most``, that turn ``item`` into a part of ``text`` on diagonals low..high."""
-    low, high = max(low - most, -len(item)), min(high + most, len(text))
-    d = np.arange(low, high + 1)
-    own = np.where((d >= 0) & (d <= len(text)), 0, len(item) + 1)  # a start before the text costs the bytes skipped
-    own = np.where(d < 0, -d, own)
-    step = np.arange(len(d))
-    padded = np.concatenate((text, np.zeros(1, np.uint8)))
-    for j, byte in enumerate(item):
-        at = j + d
-        there = (at >= 0) & (at < len(text))
-        new = own + np.where(there, padded[np.where(there, at, len(text))] != byte, 1)
-        new[:-1] = np.minimum(new[:-1], own[1:] + 1)
+def grams(text: np.ndarray, q: int) -> np.ndarray:
+    """The ``q`` (4 or 8) bytes from each place on, as one number."""
+    n = len(text) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return np.ndarray((n,), f"<u{q}", np.ascontiguousarray(text).tobytes(), strides=(1,)).astype(np.uint64)
+
+
+def least_edits(item: np.ndarray, regions: np.ndarray, most: int) -> np.ndarray:
+    """For each row of ``regions`` the fewest edits, more than ``most`` if it takes more, that turn ``item`` into a part of it.
+
+    A row starts where the band's lowest diagonal begins and is as long as the item and the band's diagonals together;
+    bytes zero stand for what lies outside of the text and equal no byte of an item.
+    """
+    m = len(item)
+    width = regions.shape[1] - m + 1
+    out = np.full(len(regions), most + 1)
+    rows, own = np.arange(len(regions)), np.zeros((len(regions), width), np.int32)
+    step = np.arange(width, dtype=np.int32)
+    for j in range(m):
+        new = own + (regions[rows, j : j + width] != item[j])
+        new[:, :-1] = np.minimum(new[:, :-1], own[:, 1:] + 1)  # a byte of the item left out
         # a byte of the text skipped moves to the next diagonal at the same item byte
-        new = np.minimum.accumulate(new - step) + step
-        if new.min() > most:
-            return None
-        own = new
-    least = int(own.min())
-    return least if least <= most else None
+        own = np.minimum.accumulate(new - step, axis=1) + step
+        if j % 8 == 7:
+            fits = own.min(axis=1) <= most
+            if not fits.all():
+                rows, own = rows[fits], own[fits]
+                if not len(rows):
+                    return out
+    out[rows] = np.minimum(own.min(axis=1), most + 1)
+    return out
 
 
-class Items:
-    """A slice of the benchmark: plain texts, edit budgets, gram bounds and the sorted grams with their places."""
+class Grams:
+    """Items of one gram length: plain texts, edit budgets, gram bounds and the sorted grams with their places."""
 
-    def __init__(self, ids: list[int], texts: list[str], share: float = EDITS):
-        data, offsets = plain(*T.flat(pa.array(texts, pa.large_string())))
-        sizes = np.diff(offsets)
-        usable = sizes >= Q
-        self.ids = np.array(ids, np.int64)[usable]
-        self.texts = [data[a:b] for a, b, u in zip(offsets[:-1], offsets[1:], usable, strict=True) if u]
-        size = sizes[usable]
-        room = np.maximum((size - Q + 1 - LEAST_GRAMS) // Q, 0)
-        self.budget = np.minimum((size * share).astype(np.int64), room)
-        self.bound = np.maximum(size - Q + 1 - Q * self.budget, 1)
-        self.width = np.maximum(self.budget, 1)
+    def __init__(self, q: int, texts: list[np.ndarray], number: np.ndarray, budget: np.ndarray):
+        self.q, self.texts, self.number, self.budget = q, texts, number, budget
+        size = np.array([len(t) for t in texts], np.int64)
+        self.bound = np.maximum(size - q + 1 - q * budget, 1)
+        self.width = np.maximum(budget, 1)
         self.longest = int(size.max()) if len(size) else 0
-        parts = [grams(t) for t in self.texts]
+        parts = [grams(t, q) for t in texts]
         code = np.concatenate([np.zeros(0, np.uint64), *parts])
-        item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in parts]])
+        item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(p), dtype=np.int32) for p in parts]])
         order = np.argsort(code, kind="stable")
         self.code, first = np.unique(code[order], return_index=True)
         self.first = np.append(first, len(code))
@@ -115,7 +124,7 @@ class Items:
 
     def found(self, text: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of all items that occur in the plain texts."""
-        code = grams(text)
+        code = grams(text, self.q)
         if not len(code) or not len(self.code):
             return []
         at = np.flatnonzero(self.filter[(code * _HASH) >> np.uint64(44)])
@@ -123,89 +132,153 @@ class Items:
         ok = self.code[slot] == code[at]
         at, slot = at[ok], slot[ok]
         doc = np.searchsorted(offsets, at, side="right") - 1
-        ok = at + Q <= offsets[doc + 1]
+        ok = at + self.q <= offsets[doc + 1]
         at, slot, doc = at[ok], slot[ok], doc[ok]
         many = self.first[slot + 1] - self.first[slot]
-        out: list[tuple[int, int, int]] = []
-        # hits by document, some millions at a time, so that a text full of common grams stays small in memory
         total = np.cumsum(many)
+        best: dict[tuple[int, int], int] = {}
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        span = int(np.diff(offsets).max(initial=0) + 2 * self.longest) + 3
         begin = 0
         while begin < len(at):
-            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + (1 << 21), side="right"))
-            end = max(end, begin + 1)
-            end = int(np.searchsorted(doc, doc[end], side="left")) if end < len(at) and doc[end] != doc[begin] else int(np.searchsorted(doc, doc[begin], side="right")) if end < len(at) else end
-            out += self._bands(text, offsets, at[begin:end], slot[begin:end], doc[begin:end], many[begin:end])
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, side="right")))
+            new, n = self._cells(offsets, at[begin:end], slot[begin:end], doc[begin:end], many[begin:end], span)
+            key, of = np.unique(np.concatenate((key, new)), return_inverse=True)
+            count = np.bincount(of, weights=np.concatenate((count, n))).astype(np.int64)
+            key, count = self._settle(text, offsets, key, count, span, (int(doc[end]), int(at[end])) if end < len(at) else None, best)
             begin = end
-        return out
+        return [(d, int(self.number[i]), e) for (d, i), e in best.items()]
 
-    def _bands(self, text, offsets, at, slot, doc, many) -> list[tuple[int, int, int]]:
+    def _cells(self, offsets, at, slot, doc, many, span):
+        """Cells (document, item, diagonal over width) of the hits, and how many hits are in each."""
         hit = np.repeat(self.first[slot] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        item = self.item[hit]
-        owner = np.repeat(doc, many)
+        item = self.item[hit].astype(np.int64)
         diagonal = np.repeat(at - offsets[doc], many) - self.place[hit]
         cell = (diagonal + self.longest) // self.width[item]
-        span = int(cell.max()) + 2 if len(cell) else 2
-        low_doc = int(doc[0])
-        key, count = np.unique(((owner - low_doc) * len(self.texts) + item) * span + cell, return_counts=True)
+        return np.unique((np.repeat(doc, many) * len(self.texts) + item) * span + cell, return_counts=True)
+
+    def _settle(self, text, offsets, key, count, span, next_hit, best):
+        """Align in the bands that no hit can be added to any more, and return the cells of the others."""
         item = key // span % len(self.texts)
+        doc = key // span // len(self.texts)
+        low = key % span * self.width[item] - self.longest
         follows = np.zeros(len(key), np.int64)
-        next_one = key[1:] == key[:-1] + 1
-        follows[:-1] = np.where(next_one, count[1:], 0)
+        follows[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        done = np.ones(len(key), bool)
+        if next_hit is not None:
+            d, at = next_hit
+            done = (doc < d) | (offsets[doc] + low + 2 * self.width[item] + self.longest < at)
         # a band is a cell and the next; a cell without one before it is also the upper half of a band
-        kept = np.flatnonzero(count + follows >= self.bound[item])
-        out, known = [], set()
-        for k in kept[np.argsort(-(count + follows)[kept], kind="stable")]:
-            i, d = int(item[k]), int(key[k] // span // len(self.texts)) + low_doc
-            if (d, i) in known:
-                continue
-            low = int(key[k] % span) * int(self.width[i]) - self.longest
-            high = low + 2 * int(self.width[i])
-            own, budget = text[offsets[d] : offsets[d + 1]], int(self.budget[i])
-            a, b = max(0, low - budget), min(len(own), high + len(self.texts[i]) + budget + 1)
-            region = own[a:b]
-            edits = 0 if self.texts[i].tobytes() in region.tobytes() else edits_within(self.texts[i], region, low - a, high - a, budget) if budget else None
-            if edits is not None:
-                known.add((d, i))
-                out.append((d, i, edits))
-        return out
+        kept = np.flatnonzero(done & (count + follows >= self.bound[item]))
+        kept = kept[np.argsort(item[kept], kind="stable")]
+        for a, b in _runs(item[kept]):
+            self._align(text, offsets, int(item[kept[a]]), doc[kept[a:b]], low[kept[a:b]], best)
+        return key[~done], count[~done]
+
+    def _align(self, text, offsets, i, doc, low, best):
+        """The least edits of item ``i`` in the bands that begin at the diagonals ``low``; what is found goes to ``best``."""
+        own, budget = self.texts[i], int(self.budget[i])
+        length = len(own) + 2 * int(self.width[i]) + 2 * budget
+        for lo in range(0, len(doc), max(1, CELLS // length)):
+            d = doc[lo : lo + max(1, CELLS // length)]
+            at = (offsets[d] + low[lo : lo + len(d)] - budget)[:, None] + np.arange(length)
+            inside = (at >= offsets[d][:, None]) & (at < offsets[d + 1][:, None])
+            regions = np.where(inside, text[np.where(inside, at, 0)], 0).astype(np.uint8)
+            different, of = np.unique(regions.view(np.dtype((np.void, length))).ravel(), return_inverse=True)
+            edits = least_edits(own, different.view(np.uint8).reshape(-1, length), budget)[of]
+            for k in np.flatnonzero(edits <= budget):
+                pair = int(d[k]), i
+                best[pair] = min(best.get(pair, budget), int(edits[k]))
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(sorted_values):
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(sorted_values)) + 1, [len(sorted_values)]))
+        yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+class Items:
+    """A slice of the benchmark: its plain texts by way of search."""
+
+    def __init__(self, ids: list[int], texts: list[str], share: float = EDITS):
+        data, offsets = plain(*T.flat(pa.array(texts, pa.large_string())))
+        size = np.diff(offsets)
+        self.ids = np.array(ids, np.int64)
+        self.texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        self.budget = np.where(size >= SHORT, (size * share).astype(np.int64), 0)
+        long = size - Q + 1 - Q * self.budget >= LEAST_GRAMS
+        of = lambda q, which: Grams(q, [self.texts[i] for i in which], which, self.budget[which])
+        self.by_grams = [g for g in (of(Q, np.flatnonzero(long & (size >= SHORT))), of(Q_SMALL, np.flatnonzero(~long & (size >= SHORT)))) if g.texts]
+        self.words = [(i, b" " + self.texts[i].tobytes() + b" ") for i in np.flatnonzero((size > 0) & (size < SHORT))]
+
+    def _words(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) if self.words else ():
+            own = b" " + text[a:b].tobytes() + b" "
+            yield from ((d, int(i), 0) for i, word in self.words if word in own)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int]]:
+        """(text number, item number, edits) of all items that occur in ``texts``."""
         data, offsets = T.flat(texts)
         out = []
         for lo, hi in T.passes(offsets):
             own = offsets[lo : hi + 1]
-            out += [(lo + d, i, e) for d, i, e in self.found(*plain(data[own[0] : own[-1]], own - own[0]))]
+            part = plain(data[own[0] : own[-1]], own - own[0])
+            for hits in (*[g.found(*part) for g in self.by_grams], self._words(*part)):
+                out += [(lo + d, i, e) for d, i, e in hits]
         return out
 
 
-def slices(benchmark: DataFrame, share: float = EDITS, slice_bytes: int = SLICE_BYTES) -> Iterator[Items]:
-    """The benchmark (item_id, text) in slices of about ``slice_bytes``; null texts and ids hold nothing to find."""
+class Slice:
+    """What a task is sent of a slice: ids and texts; the index is built in the Python worker and kept there for one slice."""
+
+    held: tuple[str, Items] | None = None
+
+    def __init__(self, ids: list[int], texts: list[str], share: float):
+        self.name, self.ids, self.texts, self.share = uuid.uuid4().hex, ids, texts, share
+
+    def items(self) -> Items:
+        if Slice.held is None or Slice.held[0] != self.name:
+            Slice.held = (self.name, Items(self.ids, self.texts, self.share))
+        return Slice.held[1]
+
+
+def slices(benchmark: DataFrame, share: float = EDITS, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[Slice, bool]]:
+    """The benchmark (item_id, text) in slices of about ``slice_bytes``, one after the other, and whether each is the only one.
+
+    Null texts and ids hold nothing to find.
+    """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / slice_bytes))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], share)
+        yield Slice([r["item_id"] for r in rows], [r["text"] for r in rows], share), n == 1
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id and edits of each item found in a row of ``docs`` (doc_id, text), at most ``share`` edits by byte.
 
-    Items shorter than Q plain bytes are ignored, as are null texts. Repeated documents have rows each; items that
-    share an id are found each. Other columns are ignored. Empty tables give an empty result.
+    ``edits`` is the least number that makes the item a part of the text. Items of fewer than SHORT plain bytes have to
+    occur exactly, as whole words; items without a plain byte and null texts hold nothing. doc_id keeps its type.
+    Repeated documents have rows each; items that share an id are found each. Other columns are ignored. Empty tables
+    give an empty result. A benchmark of several slices takes a pass for each, whose result is written before the next.
     """
-    schema = "doc_id long, item_id long, edits long"
+    docs = docs.select("doc_id", "text")
+    schema = T.schema_of(docs, "doc_id", item_id="long", edits="long")
     out = None
-    for items in slices(benchmark, share, slice_bytes):
+    for part, only in slices(benchmark, share, slice_bytes):
 
-        def each(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            items = part.items()
             for batch in batches:
                 hits = items.search(batch.column(1))
                 where = pa.array([d for d, _, _ in hits], pa.int64())
-                arrays = [batch.column(0).take(where).cast(pa.int64()), pa.array([int(items.ids[i]) for _, i, _ in hits], pa.int64()), pa.array([e for _, _, e in hits], pa.int64())]
+                arrays = [batch.column(0).take(where), pa.array([int(items.ids[i]) for _, i, _ in hits], pa.int64()), pa.array([e for _, _, e in hits], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "edits"])
 
-        found = docs.select("doc_id", "text").mapInArrow(each, schema)
+        found = docs.mapInArrow(each, schema)
+        if not only:
+            found = keep(found, "found")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -213,13 +286,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = EDITS,
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with the columns of ``docs``."""
     text = docs.columns.index("text")
-    for items in slices(benchmark, share, slice_bytes):
+    for part, only in slices(benchmark, share, slice_bytes):
 
-        def each(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            items = part.items()
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, _, _ in items.search(batch.column(text))]] = False
-                yield batch.filter(pa.array(keep))
+                stay = np.ones(batch.num_rows, bool)
+                stay[[d for d, _, _ in items.search(batch.column(text))]] = False
+                yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(each, docs.schema)
+        if not only:
+            docs = keep(docs, "clean")
     return docs
