@@ -11,20 +11,32 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where it is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a new local one only where it is unset and all runs on one machine."""
     folder = spark.conf.get(_SETTING, None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"{_SETTING} has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keep_in(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path``, over what is there, and return it as read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return it as read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` once as Parquet in the shared folder and return it as read back.
+
+    Whoever runs the job clears the folder after it; the result may still read these tables.
+    """
+    return keep_in(df, new_path(df.sparkSession, name))
 
 
 def free_name(df: DataFrame, stem: str) -> str:

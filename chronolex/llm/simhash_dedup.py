@@ -1,10 +1,11 @@
-"""Near duplicates by SimHash: fingerprints, a grid join on per-segment bit counts, exact check, components.
+"""Near duplicates by SimHash: fingerprints, a grid range-join on per-segment bit counts, exact check, components.
 
-A 64-bit fingerprint is cut into 32 segments of two bits; the count of ones in each segment is its coordinate.
-The Manhattan distance of two such points never exceeds the Hamming distance of the fingerprints. Four segments
-make one axis of an eight-axis grid. Points at a Manhattan distance of at most 4 lie in the same interval of at
-least four of the eight axes (each unit of distance spoils one axis), so joining on every choice of four axes
-finds all of them. A pair found is held against the Manhattan bound, then against the exact Hamming distance.
+A 64-bit fingerprint is cut into 32 segments of two bits; the count of ones in each segment is its coordinate. The
+Manhattan distance of two such points never exceeds the Hamming distance of the fingerprints. The coordinates are two
+halves of 16. Of points at a Manhattan distance of at most 4, one half is at most 2 apart, so some cell of the grid over
+that half, whose cells are one unit wide, is at most 1 from either point. Each point is therefore put in its own cell
+and in those next to it, in both halves, and the points that meet in a cell are held against the Manhattan bound over
+all 32 coordinates, then against the exact Hamming distance.
 
 Only connectivity is emitted, never all pairs of a cell: each cell yields a spanning star of each group linked
 inside it. Cells with more than CELL fingerprints are cut into chunks and handled chunk pair by chunk pair.
@@ -19,18 +20,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronolex.llm import textarrays as T
-from chronolex.llm.components import connected
+from chronolex.llm.components import connected, spread_join
 from chronolex.llm.durable import free_name, keep
 
 WORDS = 4
 SEED = 42
 BITS = 4
-AXES = 8
+SEGMENTS, HALVES = 32, 2
+#: Cells of up to so many fingerprints are compared pair by pair, all of them at once.
+SMALL = 16
 #: Fingerprints of one grid cell that a single numpy pass handles; larger cells are cut into chunks.
 CELL = 4096
 
@@ -161,16 +164,17 @@ def _cells(bits: int, cell: int):
         begin = np.concatenate(([0], same))
         length = np.diff(np.concatenate((begin, [len(key)])))
         a, b = [], []
-        for k in range(1, 8):  # cells of up to 8: every pair, offset by offset
-            at = np.repeat(begin[(length > k) & (length <= 8)], length[(length > k) & (length <= 8)] - k)
-            if not len(at):
+        few = length <= SMALL
+        for k in range(1, SMALL):  # small cells: every pair, offset by offset
+            has = few & (length > k)
+            if not has.any():
                 break
-            sizes = length[(length > k) & (length <= 8)] - k
-            at = at + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            sizes = length[has] - k
+            at = np.repeat(begin[has], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             ok = near(fp[at], fp[at + k], bits)
             a.append(fp[at][ok])
             b.append(fp[at + k][ok])
-        for s, n in zip(begin[length > 8], length[length > 8], strict=True):
+        for s, n in zip(begin[~few], length[~few], strict=True):
             x, y = stars(fp[s : s + n], bits)
             a.append(x)
             b.append(y)
@@ -217,20 +221,37 @@ def _cells(bits: int, cell: int):
     return each
 
 
+def cells_near(e: Column, bits: int) -> Column:
+    """The grid cells, by half, at a Manhattan distance of at most half of a half's share of ``bits`` from the counts ``e``.
+
+    A cell is the half's sixteen counts, two bits each, and the number of the half above them.
+    """
+    reach = -(-(bits // HALVES) // 2)
+    if not 0 <= reach <= 1:
+        raise ValueError("the cells next to a point cover up to 5 bits")
+    width = 64 // HALVES
+    steps = F.array(*[F.lit(1 << s) for s in range(0, width, 2)]).cast("array<bigint>")
+    out = []
+    for half in range(HALVES):
+        own = F.shiftrightunsigned(e, half * width).bitwiseAND(F.lit((1 << width) - 1))
+        cells = F.array(own)
+        if reach:
+            field = lambda s: own.bitwiseAND(s * 3)  # noqa: B023, E731
+            more = F.transform(F.filter(steps, lambda s: field(s) < s * 2), lambda s: own + s)  # noqa: B023
+            less = F.transform(F.filter(steps, lambda s: field(s) > 0), lambda s: own - s)  # noqa: B023
+            cells = F.concat(cells, more, less)
+        out.append(F.transform(cells, lambda c: c + F.lit(half << width)))  # noqa: B023
+    return F.concat(*out)
+
+
 def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
     """Edges (a, b) whose components are those of "differ in at most ``bits`` bits" over distinct ``fps`` (fp: long).
 
-    ``bits`` must be below the number of axes. No pair of linked fingerprints ends in two components; edges lead
-    from a fingerprint to the smallest of its group in a cell, so their number doesn't grow with a group's square.
+    No pair of linked fingerprints ends in two components; edges lead from a fingerprint to the smallest of its group in
+    a cell, so their number doesn't grow with a group's square.
     """
-    if not 0 <= bits < AXES:
-        raise ValueError(f"bits must be from 0 to {AXES - 1}")
-    choices = list(itertools.combinations(range(AXES), AXES - bits))
-    masks = [sum(0xFF << (8 * i) for i in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.xxhash64(m, F.col("e").bitwiseAND(m)))
     points = fps.select("fp", embedding("fp").alias("e"))
-    rows = points.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    rows = points.select(F.explode(cells_near(F.col("e"), bits)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     found = keep(rows.mapInArrow(_cells(bits, cell), "key long, a long, b long"), "cells")
     edges = found.where("key is null").select("a", "b")
     hot = found.where("key is not null").select("key", F.col("a").alias("fp"))
@@ -247,10 +268,9 @@ def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
     return edges.unionByName(paired.groupBy("key", "lo", "hi").applyInPandas(chunk, "a long, b long"))
 
 
-def _classes(rows: DataFrame, bits: int) -> DataFrame:
-    """(fp, root) of distinct fingerprints of ``rows`` (fp); root: the same for all that are linked."""
-    fps = rows.select("fp").distinct()
-    roots = keep(connected(links(fps, bits)), "roots")
+def classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct ``fps`` (fp); root: the same for all that ``edges`` (a, b) connect."""
+    roots = keep(connected(edges), "roots")
     return fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -262,28 +282,42 @@ def components(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int
     doc_id that isn't null. An empty table gives an empty result.
     """
     rows = keep(with_fingerprints(docs.select("doc_id", "text"), "text", "fp", words, seed).select("doc_id", "fp"), "fingerprints")
-    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tagged = _classes(rows, bits).join(by_fp, "fp")
+    by_fp = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    tagged = keep(classes(by_fp.select("fp"), links(by_fp.select("fp"), bits)).join(by_fp, "fp"), "tagged")
     ids = tagged.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = tagged.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = keep(spread_join(tagged, ids, "root").select("fp", "component_id"), "named")
+    return spread_join(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` that stay if of each component only the one with the smallest doc_id does.
 
-    Columns are those of ``docs``, whatever their names. Of rows equal in doc_id and fingerprint one stays; a null
-    doc_id counts as the largest.
+    Columns are those of ``docs``, whatever their names. Of rows equal in doc_id and text one stays; of those equal in
+    doc_id alone the one with the smallest fingerprint. A null doc_id counts as the largest.
     """
-    name, own, fp_name = free_name(docs, "fp"), free_name(docs, "win"), free_name(docs, "wfp")
-    rows = keep(with_fingerprints(docs.select("doc_id", "text"), "text", "fp", words, seed).select("doc_id", "fp").distinct(), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")
-    by_fp = rows.groupBy("fp").agg(F.min(order).alias("w"))
-    best = by_fp.join(_classes(rows, bits), "fp").groupBy("root").agg(F.min("w").alias("w"))
-    best = best.select(F.col("w.doc_id").alias(own), F.col("w.fp").alias(fp_name))
-    return (
-        with_fingerprints(docs, "text", name, words, seed)
-        .join(best, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(name) == F.col(fp_name)), "left_semi")
-        .dropDuplicates(["doc_id", name])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    rows = keep(with_fingerprints(marked(docs), "text", "fp", words, seed).drop("text"), "fingerprints")
+    fps = rows.select("fp").distinct()
+    return first_of_each(docs, rows, classes(fps, links(fps, bits)))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 64-bit hash of the text by which a row is found again."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first of their class: ``rows`` has (doc_id, hash, fp) of each, ``roots`` (fp, root).
+
+    What stays is decided on those narrow tables. The texts are then filtered by it without a shuffle as long as Spark
+    may broadcast the decisions, by their written size; only rows repeated with id and text are shuffled.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp", "hash", "n")
+    by_fp = rows.groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min(order).alias("w"))
+    best = by_fp.join(roots, "fp").groupBy("root").agg(F.min("w").alias("w"))
+    own, mark, told = free_name(docs, "own"), free_name(docs, "mark"), free_name(docs, "told")
+    best = keep(best.select(F.col("w.doc_id").alias(own), F.col("w.hash").alias(mark), F.col("w.n").alias("n")), "first")
+    hashed = docs.withColumn(told, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(told) == F.col(mark))
+    once = hashed.join(best.where("n = 1"), same, "left_semi")
+    repeated = hashed.join(best.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", told])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
