@@ -4,7 +4,8 @@ No Hamming radius bounds a Jaccard similarity, so the similar pairs come from pr
 one order, the same for every text, two sets of n and m shingles that are at least 0.8 similar share one of the first
 n - ceil(0.8 n) + 1 of the one and one of the first m - ceil(0.8 m) + 1 of the other. Texts that share such a shingle
 and stand the bounds on length and place are compared in full. Any order gives all pairs; shingles that are frequent
-in a sample come last, which only keeps the candidates few.
+in a sample come last, which only keeps the candidates few. Before the texts are fetched, a candidate pair has to stand
+a bound on how far apart the counts of its shingles by bin may be.
 
 Only connectivity is wanted: pairs that are connected already aren't compared. A group of more than GROUP texts on
 one shingle is first held against PIVOTS of its texts; what they don't connect is then compared pair by pair.
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from chronolex.llm import simhash_dedup
 from chronolex.llm import textarrays as T
 from chronolex.llm.components import connected
-from chronolex.llm.durable import free_name, keep
+from chronolex.llm.durable import keep
 
 WORDS = 5
 #: Similarity of at least 4 / 5.
 NUM, DEN = 4, 5
 GROUP = 32
+#: Bins over which the shingles of a text are counted, a power of two; a pair is compared in full if the counts allow it.
+BINS = 128
 PIVOTS = 3
 #: Rows of documents and most shingles that the order by frequency is estimated from; neither changes a result.
 SAMPLE, FREQUENT = 20_000, 200_000
@@ -79,8 +82,14 @@ def _sign(h: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketch(h: np.ndarray, which: np.ndarray, texts: int) -> np.ndarray:
+    """How many shingles of each text fall in each of BINS bins, by their hashes."""
+    counts = np.bincount(which * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=texts * BINS)
+    return np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16).reshape(texts, BINS)
+
+
 def _marks(frequent: np.ndarray, seen: np.ndarray):
-    """Over rows (doc_id, text, fp): doc_id, fp, sig of the shingle set, its size n and its prefix in the common order."""
+    """Over rows (doc_id, text, hash, fp): all but the text, and of the shingle set its sig, size n, bins and prefix in the common order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +105,10 @@ def _marks(frequent: np.ndarray, seen: np.ndarray):
                 most = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
                 prefix = h[order][place < np.repeat(most, n)]
                 own = batch.slice(lo, hi - lo)
+                bins = pa.array([row.tobytes() for row in _sketch(h, which, hi - lo)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(2), pa.array(sig.view(np.int64)), pa.array(n), _lists(prefix, most)], names=["doc_id", "fp", "sig", "n", "prefix"]
+                    [own.column(0), own.column(2), own.column(3), pa.array(sig.view(np.int64)), pa.array(n), bins, _lists(prefix, most)],
+                    names=["doc_id", "hash", "fp", "sig", "n", "bins", "prefix"],
                 )
 
     return each
@@ -120,15 +131,16 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(every: bool):
-    """Over rows (key, sig, root, n, place) sorted by key: pairs (null, a, b) that may be similar and aren't connected.
+    """Over rows (key, sig, root, n << 32 | place) sorted by key: pairs (null, a, b) that may be similar and aren't connected.
 
     Groups of more than GROUP rows give, unless ``every``, the pairs with their first PIVOTS rows and themselves as
-    (key, sig, place).
+    (key, sig, n << 32 | place).
     """
 
     def fits(g, i, j):
         """The bounds on sizes and, counting from the first shingle that both prefixes share, on places."""
-        _, sig, root, n, place = g
+        _, sig, root, at = g
+        n, place = at >> 32, at & 0xFFFFFFFF
         rest = np.minimum(n[i] - place[i], n[j] - place[j])
         ok = (root[i] != root[j]) & ((NUM + DEN) * rest >= NUM * (n[i] + n[j]))
         return np.minimum(sig[i], sig[j])[ok], np.maximum(sig[i], sig[j])[ok]
@@ -144,7 +156,8 @@ def _pairs(every: bool):
         if size > GROUP:  # by size, so that each row meets only those of up to 5 / 4 of its own
             by = np.argsort(g[3], kind="stable")
             g = [c[by] for c in g]
-            end = np.searchsorted(g[3], g[3] * DEN // NUM, side="right")
+            n = g[3] >> 32
+            end = np.searchsorted(n, n * DEN // NUM, side="right")
             for i in range(size):
                 for lo in range(i + 1, int(end[i]), PAIRS):
                     j = np.arange(lo, min(int(end[i]), lo + PAIRS))
@@ -154,7 +167,7 @@ def _pairs(every: bool):
         yield fits(g, i, j)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 4
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
@@ -175,7 +188,7 @@ def _pairs(every: bool):
                         yield pack(found)
                         found, made = [], 0
                 if m > GROUP and not every:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[k][s : s + m]) for k in (0, 1, 4)], names=["key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[k][s : s + m]) for k in (0, 1, 3)], names=["key", "a", "b"])
             if found:
                 yield pack(found)
 
@@ -186,7 +199,19 @@ def _pairs(every: bool):
     return each
 
 
-def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n, m, x, y) the pairs whose bins x and y, of n and m shingles, are near enough for similar sets.
+
+    What the bins differ by is no more than what the sets differ by, which in similar sets is at most a ninth of both.
+    """
+    for batch in batches:
+        n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (4, 5))
+        kept = np.abs(x - y).sum(axis=1) * (NUM + DEN) <= (n + m) * (DEN - NUM)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _similar(docs: DataFrame, marks: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The fingerprints (a, b) of those ``pairs`` of shingle sets that are similar, compared over the whole texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +220,17 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 n = np.bincount(which, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(_sign(h, which, n).view(np.int64)), _lists(h, n)], names=["sig", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    own = sets.join(asked, "sig").select(F.col("doc").alias("_own"), F.col("sig").alias("_sig"))
-    held = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("_own")), "left_semi").select("text")
-    whole = held.mapInArrow(each, "sig long, set array<long>").join(asked, "sig", "left_semi").dropDuplicates(["sig"])
-    whole = keep(whole.join(sets.select("sig", "node"), "sig"), "shingles")
+    named = lambda pairs, name: keep(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets, "sig"), name)
+    bins = marks.select("row", "bins").join(named(pairs, "asked").select("sig", "row", "n"), "row")
+    of = lambda *names: bins.select(*[F.col(c).alias(d) for c, d in zip(("sig", "n", "bins"), names, strict=True)])
+    near = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    pairs = keep(near.mapInArrow(_may_be_similar, "a long, b long"), "near")
+    asked = named(pairs, "asked")
+    own = keep(marks.select("row", "doc_id", "hash").join(asked, "row").select(F.col("doc_id").alias("own"), F.col("hash").alias("mark")), "own")
+    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("mark"))
+    held = simhash_dedup.marked(docs).join(own, same, "left_semi").select("text")
+    whole = held.mapInArrow(each, "sig long, set array<long>").dropDuplicates(["sig"])
+    whole = keep(whole.join(asked.select("sig", "node"), "sig"), "shingles")
     left = whole.select(F.col("sig").alias("a"), F.col("set").alias("x"), F.col("node").alias("fa"))
     right = whole.select(F.col("sig").alias("b"), F.col("set").alias("y"), F.col("node").alias("fb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -211,24 +242,26 @@ def _classes(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     """(fp, root) of the fingerprints of ``marks``; root: the same for all that are linked by bits or by shingles."""
     fps = marks.select("fp").distinct()
     of = lambda roots: fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    sets = keep(marks.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "sets")
-    # one set of shingles can have several fingerprints; they are linked, so any of them stands for the set
+    # one row stands for each set of shingles; what is long stays in ``marks`` and is looked up by the row's number
+    sets = keep(marks.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.any_value("n").alias("n")), "sets")
+    # a set can have several fingerprints; they are linked, so any of them stands for the set
     same = marks.select("fp", "sig").distinct().join(sets.select("sig", "node"), "sig").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
     roots = keep(connected(simhash_dedup.links(fps, bits).unionByName(same)), "roots")
     large = None
     for every in (False, True):
-        rooted = sets.join(of(roots).withColumnRenamed("fp", "node"), "node")
+        rooted = keep(sets.join(of(roots).withColumnRenamed("fp", "node"), "node").select("row", "sig", "root", "n"), "rooted")
         if large is None:
-            rows = rooted.select("sig", "root", "n", F.posexplode("prefix").alias("place", "key"))
+            rows = marks.select("row", "prefix").join(rooted, "row").select("sig", "root", "n", F.posexplode("prefix").alias("place", "key"))
+            rows = rows.withColumn("at", F.shiftleft("n", 32) + F.col("place"))
         else:
-            rows = large.join(rooted.select("sig", "root", "n"), "sig")
-        rows = rows.select("key", "sig", "root", "n", F.col("place").cast("long").alias("place")).repartition("key").sortWithinPartitions("key")
+            rows = large.join(rooted, "sig")
+        rows = rows.select("key", "sig", "root", "at").repartition("key").sortWithinPartitions("key")
         found = keep(rows.mapInArrow(_pairs(every), "key long, a long, b long"), "found")
         pairs = keep(found.where("key is null").select("a", "b").distinct(), "pairs")
         if not pairs.isEmpty():
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(docs, sets, pairs))
+            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(docs, marks, sets, pairs))
             roots = keep(connected(edges), "roots")
-        large = found.where("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("place"))
+        large = found.where("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("at"))
         if large.isEmpty():
             break
     return of(roots)
@@ -241,17 +274,8 @@ def deduplicated(docs: DataFrame, bits: int = simhash_dedup.BITS) -> DataFrame:
     at least 0.8 similar; groups are the components of that. Columns, repeated rows and null ids are treated as in
     ``simhash_dedup.deduplicated``.
     """
-    name, own, fp_name = free_name(docs, "fp"), free_name(docs, "win"), free_name(docs, "wfp")
     texts = docs.select("doc_id", "text")
-    marked = simhash_dedup.with_fingerprints(texts, "text", "fp").mapInArrow(_marks(*_frequent(texts)), "doc_id long, fp long, sig long, n long, prefix array<long>")
-    marks = keep(marked, "marks")
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")
-    by_fp = marks.groupBy("fp").agg(F.min(order).alias("w"))
-    best = by_fp.join(_classes(texts, marks, bits), "fp").groupBy("root").agg(F.min("w").alias("w"))
-    best = best.select(F.col("w.doc_id").alias(own), F.col("w.fp").alias(fp_name))
-    return (
-        simhash_dedup.with_fingerprints(docs, "text", name)
-        .join(best, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(name) == F.col(fp_name)), "left_semi")
-        .dropDuplicates(["doc_id", name])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    marked = simhash_dedup.with_fingerprints(simhash_dedup.marked(texts), "text", "fp")
+    schema = T.schema_of(marked, "doc_id", hash="long", fp="long", sig="long", n="long", bins="binary", prefix="array<long>")
+    marks = keep(marked.mapInArrow(_marks(*_frequent(texts)), schema).withColumn("row", F.monotonically_increasing_id()), "marks")
+    return simhash_dedup.first_of_each(docs, marks.select("doc_id", "hash", "fp"), _classes(texts, marks, bits))
