@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,27 @@ def test_embedding_is_a_lower_bound():
     assert (near == np.abs(plain(x) - plain(y)).sum(1)).all()
 
 
+def test_near_points_share_a_cell(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(4):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x.view(np.int64), y.view(np.int64), strict=True)], "x long, y long")
+    cells = lambda c: simhash_dedup.cells_near(simhash_dedup.embedding(c), 4)
+    both = df.select(cells("x").alias("a"), cells("y").alias("b")).select("a", F.size(F.array_intersect("a", "b")).alias("shared")).collect()
+    assert all(r.shared for r in both) and all(len(set(r.a)) == len(r.a) <= 66 for r in both)
+    with pytest.raises(ValueError):
+        simhash_dedup.cells_near(F.col("x"), 6)
+
+
+def test_spread_join_of_a_hot_key(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = components.spread_join(left, right, "k")
+    assert got.count() == 5000 and got.where("v <> k * 2").count() == 0
+
+
 def test_components_match_all_pairs(spark, sf_dir):
     docs = spark.createDataFrame(near_texts(), "doc_id long, text string").unionByName(real(spark, sf_dir).select((F.col("doc_id") + 100_000).alias("doc_id"), "text")).unionByName(hard(spark).select((F.col("doc_id") + 900_000).alias("doc_id"), "text"))
     rows = docs.collect()
@@ -134,7 +156,7 @@ def least_edits(item, text):
 
 
 def test_decontamination_matches_full_alignment(spark, sf_dir):
-    bench = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:12] + ["tiny", "", "Ünïcode tèxt with Ñ and ß that is long enough, really"]
+    bench = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:12] + ["tiny", "", "exactly twenty bytes", "Ünïcode tèxt with Ñ and ß that is long enough, really"]
     items = decontaminate.Items(list(range(len(bench))), bench)
     rng = random.Random(5)
     texts = []
@@ -144,16 +166,50 @@ def test_decontamination_matches_full_alignment(spark, sf_dir):
             p = rng.randrange(len(u))
             u[p : p + rng.choice([0, 1, 1])] = rng.choice(["", "q", "zz"])
         texts.append("Some words before, " * rng.randrange(3) + "".join(u).upper() + " and after. " * rng.randrange(3))
+    texts += ["tiny", "Not tiny? no!", "tinytiny", "exactly twenty bytes", "Say: exactly twentY bites or so", ""]
     found = {(d, int(items.ids[i])): e for d, i, e in items.search(pa.array(texts))}
     want = {}
     for k, t in enumerate(items.texts):
         for d, text in enumerate(texts):
-            e = least_edits(t.tobytes(), plain(text))
-            if e <= items.budget[k]:
+            own = plain(text)
+            if 0 < len(t) < decontaminate.SHORT:
+                if b" " + t.tobytes() + b" " in b" " + own + b" ":
+                    want[d, int(items.ids[k])] = 0
+            elif len(t) and (e := least_edits(t.tobytes(), own)) <= int(len(t) * decontaminate.EDITS):
                 want[d, int(items.ids[k])] = e
     assert found == want and len(want) > 20
 
 
+def test_decontamination_reports_the_least_edits():
+    item = "the quick brown fox jumps over a lazy dog near the river"
+    three, two = item.replace("quick", "quack").replace("jumps", "jomps").replace("river", "rover"), item.replace("lazy", "hazy").replace("near", "neer")
+    items = decontaminate.Items([1], [item])
+    assert items.search(pa.array([f"{three} and later {two}", f"{two} {item} {three}"])) == [(0, 0, 2), (1, 0, 0)]
+
+
+def test_decontamination_of_repeated_lines():
+    """Many items that share a line, and a document that is that line over and over, stay cheap; hits are cut by number."""
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line = words(6)
+    bench = [f"{line} {words(12)}" for _ in range(60)]
+    items = decontaminate.Items(list(range(60)), bench)
+    text = f"{line}\n" * 300 + f"{bench[7]}\n" + f"{line}\n" * 300
+    began = time.time()
+    assert items.search(pa.array([text, line])) == [(0, 7, 0)] and time.time() - began < 10
+
+
+def test_hits_cut_anywhere_find_the_same(monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    bench = [words(12) for _ in range(20)]
+    texts = pa.array([words(30) + " " + rng.choice(bench) + " " + words(30) for _ in range(20)])
+    want = sorted(decontaminate.Items(list(range(20)), bench).search(texts))
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    monkeypatch.setattr(decontaminate, "CELLS", 500)
+    assert sorted(decontaminate.Items(list(range(20)), bench).search(texts)) == want and len(want) >= 20
+
+
 def test_decontamination_tables(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(None, "x" * 50), (77, None)], "item_id long, text string"))
     leak = bench.where("item_id = 3").first().text
@@ -167,12 +223,23 @@ def test_decontamination_tables(spark, sf_dir):
     assert decontaminate.contaminations(docs.limit(0), bench).count() == 0 and decontaminate.contaminations(docs, bench.limit(0)).count() == 0
 
 
-def test_decontamination_finds_all_exact_passages(spark, sf_dir):
+def test_decontamination_query_both_ways(spark, sf_dir):
+    """The registered query: every exact passage is found, and what is found stands a full alignment."""
     docs, bench = real(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows, items = docs.collect(), bench.collect()
-    want = {(r.doc_id, b.item_id) for r in rows for b in items if plain(b.text) in plain(r.text or "")}
-    got = {(r.doc_id, r.item_id) for r in registry.QUERIES["op5_decontaminate"](spark, sf_dir).collect()}
-    assert want <= got and want
+    rows, items = {r.doc_id: plain(r.text or "") for r in docs.collect()}, {r.item_id: plain(r.text) for r in bench.collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in registry.QUERIES["op5_decontaminate"](spark, sf_dir).collect()}
+    assert {(d, i) for d, text in rows.items() for i, item in items.items() if item in text} <= got.keys() and got
+    for (d, i), e in got.items():
+        assert e <= int(len(items[i]) * decontaminate.EDITS)
+        if e == 0:
+            assert items[i] in rows[d]
+        elif len(rows[d]) < 3000:
+            assert e == least_edits(items[i], rows[d])
+    # no document without a hit comes near an item: three 8-byte pieces apart from each other would have to be missing
+    few = [d for d in sorted(rows) if d not in {k for k, _ in got} and len(rows[d]) < 900][:12]
+    for d in few:
+        for i, item in list(items.items())[:6]:
+            assert least_edits(item, rows[d]) > int(len(item) * decontaminate.EDITS)
 
 
 # --- nearest neighbours
@@ -216,6 +283,23 @@ def test_equal_vectors_go_by_id(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_repeated_ids_take_part_once(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann_additive.search(df, df.where("vec_id = 1")).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 3.0), (1, 2, 3, 0.0)]
+
+
+def test_copies_below_the_neighbours_push_none_out(spark):
+    """One vector, copied more often than a shortlist holds, ranks just below the true neighbours."""
+    rng = np.random.default_rng(9)
+    near, copied = rng.normal(size=(6, 8)) * 0.05 + 1, np.full(8, 0.9)
+    rows = [(0, np.ones(8)), *[(i + 1, v) for i, v in enumerate(near)], *[(100 + i, copied) for i in range(400)], *[(1000 + i, v) for i, v in enumerate(rng.normal(size=(100, 8)))]]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = ann_additive.search(df, df.where("vec_id = 0"), nearest=5, shortlist=20).orderBy("rank").collect()
+    order = sorted(((-float(v.sum()), i) for i, v in rows if i), key=lambda p: p)[:5]
+    assert [r.vec_id for r in got] == [i for _, i in order]
+
+
 def test_beam_encoding_stores_lengths():
     x = np.random.default_rng(2).normal(size=(400, 16))
     books = ann_additive.fit_codebooks(x, books=4, words=16)
@@ -228,7 +312,8 @@ def test_beam_encoding_stores_lengths():
 
 # --- token counts
 
-ODD = ["aaaa aaaaaaa aaa", "<|endoftext|>Hi<|startoftext|><|endoftext|>", "ΣΑΣ ΟΔΟΣ", "a\x1cb\x1fc\x85d​e　f\xa0g", "it's we'll I'VE '''s", "123 ٣٤ ⅷ", "x" * 3000, "ab" * 4000 + "!" * 500, "<|endoftext|", "ﬁ Å", "\x00\x01", "𝒳𝓎", "👨‍👩‍👧"]
+LETTERS = random.Random(6)
+ODD = ["".join(LETTERS.choice("abcdeéß😀") for _ in range(6000)), "na" * 1500 + "n", "aaaa aaaaaaa aaa", "<|endoftext|>Hi<|startoftext|><|endoftext|>", "ΣΑΣ ΟΔΟΣ", "a\x1cb\x1fc\x85d​e　f\xa0g", "it's we'll I'VE '''s", "123 ٣٤ ⅷ", "x" * 3000, "ab" * 4000 + "!" * 500, "<|endoftext|", "ﬁ Å", "\x00\x01", "𝒳𝓎", "👨‍👩‍👧"]
 
 
 def test_token_counts_match_the_library(spark, sf_dir):
