@@ -89,10 +89,11 @@ def _sketch(h: np.ndarray, which: np.ndarray, texts: int) -> np.ndarray:
 
 
 def _marks(frequent: np.ndarray, seen: np.ndarray):
-    """Over rows (doc_id, text, hash, fp): all but the text, and of the shingle set its sig, size n, bins and prefix in the common order."""
+    """Over rows (doc_id, text, hash): id and hash, the fingerprint, and of the shingle set its sig, size n, bins and prefix in the common order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fp = pa.array(simhash_dedup.fingerprints(batch.column(1)).view(np.int64))
             for lo, hi, h, which in shingles(batch.column(1)):
                 n = np.bincount(which, minlength=hi - lo)
                 sig = _sign(h, which, n)
@@ -107,7 +108,7 @@ def _marks(frequent: np.ndarray, seen: np.ndarray):
                 own = batch.slice(lo, hi - lo)
                 bins = pa.array([row.tobytes() for row in _sketch(h, which, hi - lo)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(2), own.column(3), pa.array(sig.view(np.int64)), pa.array(n), bins, _lists(prefix, most)],
+                    [own.column(0), own.column(2), fp.slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.array(n), bins, _lists(prefix, most)],
                     names=["doc_id", "hash", "fp", "sig", "n", "bins", "prefix"],
                 )
 
@@ -275,7 +276,7 @@ def deduplicated(docs: DataFrame, bits: int = simhash_dedup.BITS) -> DataFrame:
     ``simhash_dedup.deduplicated``.
     """
     texts = docs.select("doc_id", "text")
-    marked = simhash_dedup.with_fingerprints(simhash_dedup.marked(texts), "text", "fp")
+    marked = simhash_dedup.marked(texts)
     schema = T.schema_of(marked, "doc_id", hash="long", fp="long", sig="long", n="long", bins="binary", prefix="array<long>")
     marks = keep(marked.mapInArrow(_marks(*_frequent(texts)), schema).withColumn("row", F.monotonically_increasing_id()), "marks")
     return simhash_dedup.first_of_each(docs, marks.select("doc_id", "hash", "fp"), _classes(texts, marks, bits))
