@@ -1,14 +1,14 @@
-"""Near copies by SimHash links and by the exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash links and by a Jaccard similarity of five-word shingles of at least 0.8.
 
-No Hamming radius bounds a Jaccard similarity, so the similar pairs come from prefixes instead. With all shingles in
-one order, the same for every text, two sets of n and m shingles that are at least 0.8 similar share one of the first
-n - ceil(0.8 n) + 1 of the one and one of the first m - ceil(0.8 m) + 1 of the other. Texts that share such a shingle
-and stand the bounds on length and place are compared in full. Any order gives all pairs; shingles that are frequent
-in a sample come last, which only keeps the candidates few. Before the texts are fetched, a candidate pair has to stand
-a bound on how far apart the counts of its shingles by bin may be.
+No Hamming radius bounds a Jaccard similarity, so similar texts meet on bands of least hashes instead: two texts share
+each of a band's ROWS least hashes with the probability of their similarity, so of BANDS bands none is shared by texts
+0.8 similar once in 1.4e9 times. A text has BANDS rows whatever its length, a passage that many texts share brings
+together only those that it makes similar, and nothing depends on the size or a sample of the corpus. Pairs that meet
+have to stand a bound on how far apart the counts of their shingles by bin may be; what is left is compared in full,
+over whole texts.
 
-Only connectivity is wanted: pairs that are connected already aren't compared. A group of more than GROUP texts on
-one shingle is first held against PIVOTS of its texts; what they don't connect is then compared pair by pair.
+Only connectivity is wanted: pairs that are connected already aren't compared. A group of more than GROUP texts on one
+band is first held against PIVOTS of its texts; what they don't connect is then compared pair by pair, bins first.
 """
 
 from __future__ import annotations
@@ -29,12 +29,10 @@ from chronolex.llm.durable import keep
 WORDS = 5
 #: Similarity of at least 4 / 5.
 NUM, DEN = 4, 5
-GROUP = 32
-#: Bins over which the shingles of a text are counted, a power of two; a pair is compared in full if the counts allow it.
+BANDS, ROWS = 40, 4
+GROUP, PIVOTS = 8, 2
+#: Bins over which the shingles of a text are counted, a power of two.
 BINS = 128
-PIVOTS = 3
-#: Rows of documents and most shingles that the order by frequency is estimated from; neither changes a result.
-SAMPLE, FREQUENT = 20_000, 200_000
 #: Pairs that one numpy pass makes.
 PAIRS = 1 << 18
 
@@ -88,95 +86,90 @@ def _sketch(h: np.ndarray, which: np.ndarray, texts: int) -> np.ndarray:
     return np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16).reshape(texts, BINS)
 
 
-def _marks(frequent: np.ndarray, seen: np.ndarray):
-    """Over rows (doc_id, text, hash): id and hash, the fingerprint, and of the shingle set its sig, size n, bins and prefix in the common order."""
+def _bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BANDS keys of each text that has shingles; ``h`` are the shingles' hashes, ``n`` how many each text has."""
+    full = n > 0
+    starts = (np.cumsum(n) - n)[full]
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    k = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        turn, times = T.mix(k * np.uint64(0x9E3779B97F4A7C15)), T.mix(k * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        for band in range(BANDS if len(starts) else 0):
+            key = np.full(len(starts), band + 1, np.uint64)
+            for i in range(band * ROWS, (band + 1) * ROWS):
+                key = T.mix(key * times[0] + np.minimum.reduceat((h ^ turn[i]) * times[i], starts))
+            out[:, band] = key
+    return out
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = pa.array(simhash_dedup.fingerprints(batch.column(1)).view(np.int64))
-            for lo, hi, h, which in shingles(batch.column(1)):
-                n = np.bincount(which, minlength=hi - lo)
-                sig = _sign(h, which, n)
-                rank = np.zeros(len(h), np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    rank = np.where(frequent[at] == h, seen[at], 0)
-                order = np.lexsort((h, rank, which))
-                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                most = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
-                prefix = h[order][place < np.repeat(most, n)]
-                own = batch.slice(lo, hi - lo)
-                bins = pa.array([row.tobytes() for row in _sketch(h, which, hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(2), fp.slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.array(n), bins, _lists(prefix, most)],
-                    names=["doc_id", "hash", "fp", "sig", "n", "bins", "prefix"],
-                )
 
-    return each
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (doc_id, text, hash): id and hash, the fingerprint, and of the shingle set its sig, size n, bins and band keys."""
+    for batch in batches:
+        fp = pa.array(simhash_dedup.fingerprints(batch.column(1)).view(np.int64))
+        for lo, hi, h, which in shingles(batch.column(1)):
+            n = np.bincount(which, minlength=hi - lo)
+            own = batch.slice(lo, hi - lo)
+            bins = pa.array([row.tobytes() for row in _sketch(h, which, hi - lo)], pa.binary())
+            columns = [own.column(0), own.column(2), fp.slice(lo, hi - lo), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), bins, _lists(_bands(h, n).ravel(), BANDS * (n > 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "fp", "sig", "n", "bins", "keys"])
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several texts of a sample hold, and in how many."""
+def _near(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles with the bins ``x`` and ``y`` may be similar.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, h, _ in shingles(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+    What the bins differ by is no more than what the sets differ by, which in similar sets is at most a ninth of both.
+    """
+    return np.abs(x.astype(np.int64) - y).sum(axis=-1) * (NUM + DEN) <= (n + m) * (DEN - NUM)
 
-    share = SAMPLE / max(docs.count(), 1)
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    top = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
+
+def _unpacked(bins: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bins.to_pylist()), np.uint16).reshape(-1, BINS)
 
 
 def _pairs(every: bool):
-    """Over rows (key, sig, root, n << 32 | place) sorted by key: pairs (null, a, b) that may be similar and aren't connected.
+    """Over rows (key, sig, root, n) sorted by key: pairs (null, a, b) that may be similar and aren't connected.
 
-    Groups of more than GROUP rows give, unless ``every``, the pairs with their first PIVOTS rows and themselves as
-    (key, sig, n << 32 | place).
+    Groups of more than GROUP rows give the pairs with their first PIVOTS rows and themselves as (key, sig, null). With
+    ``every`` rows have their bins too and groups give all pairs that stand the bound on them.
     """
 
     def fits(g, i, j):
-        """The bounds on sizes and, counting from the first shingle that both prefixes share, on places."""
-        _, sig, root, at = g
-        n, place = at >> 32, at & 0xFFFFFFFF
-        rest = np.minimum(n[i] - place[i], n[j] - place[j])
-        ok = (root[i] != root[j]) & ((NUM + DEN) * rest >= NUM * (n[i] + n[j]))
-        return np.minimum(sig[i], sig[j])[ok], np.maximum(sig[i], sig[j])[ok]
+        sig, root, n = g[1:4]
+        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)
+        if every:
+            i, j = np.broadcast_to(i, ok.shape)[ok], j[ok]
+            ok = _near(n[i], n[j], g[4][i], g[4][j])
+        a, b = np.broadcast_to(sig[i], ok.shape)[ok], sig[j][ok]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def group(g):
         size = len(g[0])
-        if size > GROUP and not every:
-            by = np.argsort(g[1])
-            g = [c[by] for c in g]
-            for p in range(PIVOTS):
-                yield fits(g, np.full(size - p - 1, p), np.arange(p + 1, size))
-            return
-        if size > GROUP:  # by size, so that each row meets only those of up to 5 / 4 of its own
-            by = np.argsort(g[3], kind="stable")
-            g = [c[by] for c in g]
-            n = g[3] >> 32
-            end = np.searchsorted(n, n * DEN // NUM, side="right")
+        by = np.argsort(g[3] if every else g[1], kind="stable")
+        g = [c[by] for c in g]
+        if every:  # by size, so that each row meets only those of up to 5 / 4 of its own
+            end = np.searchsorted(g[3], g[3] * DEN // NUM, side="right")
             for i in range(size):
-                for lo in range(i + 1, int(end[i]), PAIRS):
-                    j = np.arange(lo, min(int(end[i]), lo + PAIRS))
-                    yield fits(g, np.full(len(j), i), j)
-            return
-        i, j = np.triu_indices(size, 1)
-        yield fits(g, i, j)
+                for lo in range(i + 1, int(end[i]), PAIRS // BINS):
+                    yield fits(g, np.int64(i), np.arange(lo, min(int(end[i]), lo + PAIRS // BINS)))
+        elif size > GROUP:
+            for p in range(PIVOTS):
+                yield fits(g, np.int64(p), np.arange(p + 1, size))
+        else:
+            yield fits(g, *np.triu_indices(size, 1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]] + ([_unpacked(batch.column(4))] if every else [])
+                held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
             key = held[0]
-            done = len(key) if batch is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
+            done = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            rows, held = [h[:done] for h in held], [h[done:] for h in held]
             if not done:
                 continue
-            rows, held = [h[:done] for h in held], [h[done:] for h in held]
             begin = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1))
             length = np.diff(np.concatenate((begin, [done])))
             two = begin[length == 2]
@@ -189,7 +182,7 @@ def _pairs(every: bool):
                         yield pack(found)
                         found, made = [], 0
                 if m > GROUP and not every:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[k][s : s + m]) for k in (0, 1, 3)], names=["key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(rows[k][s : s + m]) for k in (0, 1)], pa.nulls(m, pa.int64())], names=["key", "a", "b"])
             if found:
                 yield pack(found)
 
@@ -201,15 +194,11 @@ def _pairs(every: bool):
 
 
 def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, n, m, x, y) the pairs whose bins x and y, of n and m shingles, are near enough for similar sets.
-
-    What the bins differ by is no more than what the sets differ by, which in similar sets is at most a ninth of both.
-    """
+    """Of rows (a, b, n, m, x, y) the pairs whose bins x and y, of n and m shingles, are near enough for similar sets."""
     for batch in batches:
         n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (4, 5))
-        kept = np.abs(x - y).sum(axis=1) * (NUM + DEN) <= (n + m) * (DEN - NUM)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
+        kept = pa.array(_near(n, m, _unpacked(batch.column(4)), _unpacked(batch.column(5))))
+        yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _similar(docs: DataFrame, marks: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -250,20 +239,22 @@ def _classes(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     roots = keep(connected(simhash_dedup.links(fps, bits).unionByName(same)), "roots")
     large = None
     for every in (False, True):
-        rooted = keep(sets.join(of(roots).withColumnRenamed("fp", "node"), "node").select("row", "sig", "root", "n"), "rooted")
+        rooted = sets.join(of(roots).withColumnRenamed("fp", "node"), "node").select("row", "sig", "root", "n")
         if large is None:
-            rows = marks.select("row", "prefix").join(rooted, "row").select("sig", "root", "n", F.posexplode("prefix").alias("place", "key"))
-            rows = rows.withColumn("at", F.shiftleft("n", 32) + F.col("place"))
+            rows = marks.select("row", "keys").join(rooted, "row").select(F.explode("keys").alias("key"), "sig", "root", "n")
         else:
-            rows = large.join(rooted, "sig")
-        rows = rows.select("key", "sig", "root", "at").repartition("key").sortWithinPartitions("key")
+            # groups whose texts are all connected by now have nothing left to compare
+            large = large.join(rooted, "sig")
+            open_ = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+            rows = large.join(open_, "key", "left_semi").join(marks.select("row", "bins"), "row").select("key", "sig", "root", "n", "bins")
+        rows = rows.repartition("key").sortWithinPartitions("key")
         found = keep(rows.mapInArrow(_pairs(every), "key long, a long, b long"), "found")
         pairs = keep(found.where("key is null").select("a", "b").distinct(), "pairs")
         if not pairs.isEmpty():
             edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(docs, marks, sets, pairs))
             roots = keep(connected(edges), "roots")
-        large = found.where("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("at"))
-        if large.isEmpty():
+        large = found.where("key is not null").select("key", F.col("a").alias("sig"))
+        if every or large.isEmpty():
             break
     return of(roots)
 
@@ -277,6 +268,6 @@ def deduplicated(docs: DataFrame, bits: int = simhash_dedup.BITS) -> DataFrame:
     """
     texts = docs.select("doc_id", "text")
     marked = simhash_dedup.marked(texts)
-    schema = T.schema_of(marked, "doc_id", hash="long", fp="long", sig="long", n="long", bins="binary", prefix="array<long>")
-    marks = keep(marked.mapInArrow(_marks(*_frequent(texts)), schema).withColumn("row", F.monotonically_increasing_id()), "marks")
+    schema = T.schema_of(marked, "doc_id", hash="long", fp="long", sig="long", n="long", bins="binary", keys="array<long>")
+    marks = keep(marked.mapInArrow(_marks, schema).withColumn("row", F.monotonically_increasing_id()), "marks")
     return simhash_dedup.first_of_each(docs, marks.select("doc_id", "hash", "fp"), _classes(texts, marks, bits))

@@ -63,9 +63,8 @@ def test_groups_match_all_pairs(spark, sf_dir, monkeypatch):
     rows += [(100_000 + i, t) for i, t in enumerate(made)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = kept(rows)
-    for group, sample in ((shingle_links.GROUP, shingle_links.SAMPLE), (4, 1)):
+    for group in (shingle_links.GROUP, 3):
         monkeypatch.setattr(shingle_links, "GROUP", group)
-        monkeypatch.setattr(shingle_links, "SAMPLE", sample)
         assert sorted(r.doc_id for r in shingle_links.deduplicated(docs).collect()) == want
 
 
