@@ -236,10 +236,11 @@ def _classes(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     sets = keep(marks.where("n > 0").groupBy("sig").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.any_value("n").alias("n")), "sets")
     # a set can have several fingerprints; they are linked, so any of them stands for the set
     same = marks.select("fp", "sig").distinct().join(sets.select("sig", "node"), "sig").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
-    roots = keep(connected(simhash_dedup.links(fps, bits).unionByName(same)), "roots")
-    large = None
+    edges = keep(simhash_dedup.links(fps, bits).unionByName(same), "links")
+    large = roots = None
     for every in (False, True):
-        rooted = sets.join(of(roots).withColumnRenamed("fp", "node"), "node").select("row", "sig", "root", "n")
+        # the first time round nothing is connected yet, the second time most is
+        rooted = (sets.withColumn("root", F.col("node")) if roots is None else sets.join(of(roots).withColumnRenamed("fp", "node"), "node")).select("row", "sig", "root", "n")
         if large is None:
             rows = marks.select("row", "keys").join(rooted, "row").select(F.explode("keys").alias("key"), "sig", "root", "n")
         else:
@@ -250,9 +251,9 @@ def _classes(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
         rows = rows.repartition("key").sortWithinPartitions("key")
         found = keep(rows.mapInArrow(_pairs(every), "key long, a long, b long"), "found")
         pairs = keep(found.where("key is null").select("a", "b").distinct(), "pairs")
-        if not pairs.isEmpty():
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(docs, marks, sets, pairs))
-            roots = keep(connected(edges), "roots")
+        edges = edges if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if roots is None or not pairs.isEmpty():
+            roots = keep(connected(edges.unionByName(_similar(docs, marks, sets, pairs))), "roots")
         large = found.where("key is not null").select("key", F.col("a").alias("sig"))
         if every or large.isEmpty():
             break

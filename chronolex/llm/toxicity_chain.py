@@ -114,21 +114,31 @@ def linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4)
     return w, bias
 
 
-def train(chain: Chain, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS, columns: Sequence[np.ndarray] | None = None) -> Chain:
-    """Fit the links on features ``x``, labels ``y`` (a column for each category) and the documents' folds.
+def train(chain: Chain, counts: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS, columns: Sequence[np.ndarray] | None = None) -> Chain:
+    """Fit the links on features, labels ``y`` (a column for each category) and the documents' folds.
 
-    ``columns`` has the columns of ``x`` that each fold's models may read, chosen without that fold, and last those of
-    the chain itself.
+    ``counts`` says how often each document has each feature. ``columns`` has the features that each fold's models may
+    read, chosen without that fold, and last those of the chain itself.
     """
-    columns = columns or [np.arange(x.shape[1])] * (folds + 1)
-    earlier = np.zeros((len(x), 0), np.float32)
+    columns = columns or [np.arange(counts.shape[1])] * (folds + 1)
+    logs = np.log2(1 + np.arange(int(counts.max(initial=0)) + 1)).astype(np.float32)
+
+    def inputs(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Features and earlier probabilities of some rows, in one array of their own."""
+        out = np.empty((len(rows), len(of) + earlier.shape[1]), np.float32)
+        for lo in range(0, len(rows), 2048):
+            out[lo : lo + 2048, : len(of)] = logs[counts[np.ix_(rows[lo : lo + 2048], of)]]
+        out[:, len(of) :] = earlier[rows]
+        return out
+
+    earlier = np.zeros((len(counts), 0), np.float32)
     for c in range(y.shape[1]):
-        chain.links.append(linear(np.concatenate([x[:, columns[-1]], earlier], axis=1), y[:, c]))
-        out = np.zeros(len(x), np.float32)
+        chain.links.append(linear(inputs(np.arange(len(counts)), columns[-1]), y[:, c]))
+        out = np.zeros(len(counts), np.float32)
         for k in range(folds):
-            own, other = fold == k, fold != k
-            w, bias = linear(np.concatenate([x[other][:, columns[k]], earlier[other]], axis=1), y[other, c])
-            out[own] = logistic(np.concatenate([x[own][:, columns[k]], earlier[own]], axis=1) @ w + bias)
+            own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            w, bias = linear(inputs(other, columns[k]), y[other, c])
+            out[own] = logistic(inputs(own, columns[k]) @ w + bias)
         earlier = np.column_stack([earlier, out])
     return chain
 
@@ -195,17 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, owner, found, _ in _by_text(batch, 1):
-                x = everything.matrix(hi - lo, *everything.slots(owner, found))
+                own, slot = everything.slots(owner, found)
+                x = np.bincount(own * len(hashes) + slot, minlength=(hi - lo) * len(hashes)).reshape(hi - lo, len(hashes))
                 part = batch.slice(lo, hi - lo)
                 slots = [np.flatnonzero(row) for row in x]
-                lists = [pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), pa.array([row[s] for row, s in zip(x, slots, strict=True)], pa.list_(pa.float32()))]
+                lists = [pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), pa.array([row[s].astype(np.int32) for row, s in zip(x, slots, strict=True)], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *lists], names=["doc_id", "label", "fold", "slots", "values"])
 
-    schema = T.schema_of(some, "doc_id", label="int", fold="int", slots="array<int>", values="array<float>")
+    schema = T.schema_of(some, "doc_id", label="int", fold="int", slots="array<int>", values="array<int>")
     rows = some.mapInArrow(sparse, schema).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id", "slots", "values").limit(most).toPandas()
-    x = np.zeros((len(rows), len(hashes)), np.float32)
+    x = np.zeros((len(rows), len(hashes)), np.uint16)
     for i, (slots, values) in enumerate(zip(rows["slots"], rows["values"], strict=True)):
-        x[i, slots] = values
+        x[i, slots] = np.minimum(values, np.iinfo(np.uint16).max)
     toxic, fold = rows["label"].to_numpy(np.int64) > 0, rows["fold"].to_numpy(np.int64)
     whole, begun, columns = np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
     for f in range(folds + 1):
@@ -214,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
         columns.append(at)
         marks = mine["p"].to_numpy(np.float64) >= MARK
         common = marks & (mine["kind"].to_numpy(np.int64) == 0) & (mine["ones"].to_numpy(np.int64) >= COMMON * toxic[fold != f].sum())
-        own = (fold == f) & toxic  # none for the last, whose features are the chain's
-        whole[own] = (x[own][:, at[common]] > 0).any(axis=1)
-        begun[own] = ~whole[own] & (x[own][:, at[marks]] > 0).any(axis=1)
+        own = np.flatnonzero((fold == f) & toxic)  # none for the last, whose features are the chain's
+        whole[own] = (x[np.ix_(own, at[common])] > 0).any(axis=1)
+        begun[own] = ~whole[own] & (x[np.ix_(own, at[marks])] > 0).any(axis=1)
     return train(Chain(hashes[columns[-1]]), x, np.column_stack([whole, begun, toxic]).astype(np.float32), fold, folds, columns)
 
 

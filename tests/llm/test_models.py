@@ -100,7 +100,7 @@ def test_toxicity_with_more_labels(spark):
 
 def test_chain_reads_earlier_probabilities():
     rng = np.random.default_rng(1)
-    x = (rng.random((600, 6)) < 0.3).astype(np.float32)
+    x = (rng.random((600, 6)) < 0.3).astype(np.uint16)
     first = x[:, 0] > 0
     second = first & (x[:, 1] > 0)
     chain = toxicity_chain.train(toxicity_chain.Chain(np.arange(6, dtype=np.uint64), ("a", "b")), x, np.column_stack([first, second]).astype(np.float32), np.arange(600) % 4)
@@ -147,7 +147,7 @@ def test_the_chain_by_hand(spark, docs, labels):
 def test_a_fold_is_out_of_its_own_models():
     """Out-of-fold probabilities of one fold don't change with that fold's labels."""
     rng = np.random.default_rng(3)
-    x = (rng.random((400, 8)) < 0.3).astype(np.float32)
+    x = (rng.random((400, 8)) < 0.3).astype(np.uint16)
     y, fold = (x[:, :2] > 0).astype(np.float32), np.arange(400) % 4
     columns = [np.array([0, 1, 2, 3]), np.array([0, 1, 4]), np.arange(8), np.array([1, 2]), np.arange(6)]
     seen = []
@@ -155,7 +155,7 @@ def test_a_fold_is_out_of_its_own_models():
         labels = y.copy()
         if flip:
             labels[fold == 2, 0] = 1 - labels[fold == 2, 0]
-        w, bias = toxicity_chain.linear(x[fold != 2][:, columns[2]], labels[fold != 2, 0])
+        w, bias = toxicity_chain.linear(x[fold != 2][:, columns[2]].astype(np.float32), labels[fold != 2, 0])
         seen.append((w, bias))
         chain = toxicity_chain.train(toxicity_chain.Chain(np.arange(6, dtype=np.uint64)), x, labels, fold, columns=columns)
         assert [len(w) for w, _ in chain.links] == [6, 7]
