@@ -12,6 +12,8 @@ def test_forms(spark):
     for text, want in (
         ("1조2항", ["제1조/항2"]), ("제 3 조의 2 제1항 제4호 가목", ["제3조의2/항1/호4/목가"]), ("제이십오조 ③항", ["제25조/항3"]), ("제1조 제2항 및 제3항", ["제1조/항2", "제1조/항3"]),
         ("제7조, 제9조와 제7조", ["제7조", "제9조"]), ("no reference", []), (None, []),
+        ("12조의3제4호를 위반하면", ["제12조의3/호4"]), ("제2항만 물어봄", []), ("제4조는 제2항과 다르다", ["제4조"]), ("제5조 제1항, 제2항 또는 제3항", ["제5조/항1", "제5조/항2", "제5조/항3"]),
+        ("제5조의2 제1항 및 제9조 제2호 나목", ["제5조의2/항1", "제9조/호2/목나"]), ("제007조", ["제7조"]), ("제8조 제십일항 제이호", ["제8조/항11/호2"]), ("전화 02-123, 3층 제1조", ["제1조"]),
     ):
         assert parse(spark, text).paths == want, text
 
