@@ -107,6 +107,16 @@ def nfkc_compact(c: Column) -> Column:
     return F.regexp_replace(nfkc_casefold(c), r"[^\p{L}\p{N}]", "")
 
 
+@F.pandas_udf(StringType())
+def nfkc_lower(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+
+
+def compact_text(c: Column) -> Column:
+    """Digits, Latin letters and Hangul syllables of the compatibility form in lower case."""
+    return F.regexp_replace(nfkc_lower(c), "[^0-9a-z가-힣]", "")
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of pairs that cheaper bounds have let through."""

@@ -204,9 +204,9 @@ def nfkc_casefold(t):
     return t.documents.select("doc_id", H.sha256(X.nfkc_casefold(F.col("text"))).alias("h"))
 
 
-@query("compact_text", r"SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS h FROM documents")
+@query("compact_text", r"SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z가-힣]', '', 'g')) AS h FROM documents")  # as far as NFKC changes nothing
 def compact_text(t):
-    return t.documents.select("doc_id", H.sha256(F.regexp_replace(F.lower("text"), "[^0-9a-z]", "")).alias("h"))
+    return t.documents.select("doc_id", X.compact_text(F.col("text")).alias("c")).select("doc_id", H.sha256(F.col("c")).alias("h"))
 
 
 @query("strip_suffix_longest_list", """SELECT p_partkey, CASE WHEN w LIKE '%ings' AND length(w) >= 6 THEN left(w, length(w) - 4) WHEN w LIKE '%ing' AND length(w) >= 5 THEN left(w, length(w) - 3)

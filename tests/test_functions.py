@@ -105,3 +105,8 @@ def test_cosine_edges(spark):
     assert one(spark, V.cosine(v(3, 4), v(3, 4))) == pytest.approx(1.0)
     assert one(spark, V.is_finite(v(1, float("nan")))) is False
     assert one(spark, V.parse_vector(F.lit("[1, 2.5]"))) == [1.0, 2.5]
+
+
+def test_compact_text_folds_and_keeps_hangul(spark):
+    df = spark.createDataFrame([("Ｆｕｌｌ ①번, 제3조! Ａ-b",), (None,)], "t string")
+    assert [r.c for r in df.select(X.compact_text(F.col("t")).alias("c")).collect()] == ["full1번제3조ab", None]
