@@ -24,10 +24,11 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str =
 def dense(queries: DataFrame, passages: DataFrame, k: int, digits: int = 6, same_id: bool = False) -> DataFrame:
     """query_id, vec_id, score and rank by cosine over all ``passages`` (vec_id, embedding), for a stated query set.
 
-    ``queries`` (query_id, embedding) is a bounded parameter table; filters on passages come before the distance, so
-    that history dates aren't underfilled. Scores are rounded and ties go to the smaller id.
+    ``queries`` (query_id, embedding) may grow with the passages: Spark broadcasts them if their size allows it and holds
+    partition against partition if not. Filters on passages come before the distance, so that history dates aren't
+    underfilled. Scores are rounded and ties go to the smaller id.
     """
-    pairs = passages.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
+    pairs = passages.crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
     if not same_id:
         pairs = pairs.where("query_id <> vec_id")
     scored = pairs.select("query_id", *[c for c in passages.columns if c != "embedding"], F.round(V.cosine(F.col("embedding"), F.col("q")), digits).alias("score"))
@@ -37,10 +38,10 @@ def dense(queries: DataFrame, passages: DataFrame, k: int, digits: int = 6, same
 def keyword_scores(queries: DataFrame, passages: DataFrame, title: str = "title", heading: str = "heading", content: str = "content") -> DataFrame:
     """``queries`` (query_id, terms) against passages: matched terms and the score 3, 2, 1 by field a term occurs in.
 
-    One scan serves every stage of the cascade. The query table is a bounded parameter and is broadcast.
+    One scan serves every stage of the cascade. Spark broadcasts the queries if their size allows it.
     """
     low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (title, heading, content)}
-    pairs = passages.select("*", *[v.alias(f"_{k}") for k, v in low.items()]).crossJoin(F.broadcast(queries.select("query_id", "terms")))
+    pairs = passages.select("*", *[v.alias(f"_{k}") for k, v in low.items()]).crossJoin(queries.select("query_id", "terms"))
     has = lambda c, t: F.contains(F.col(f"_{c}"), t)
     points = F.aggregate(
         "terms", F.lit(0).cast("long"),
@@ -57,7 +58,7 @@ def cascade(scored: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     single match must hold. Stages are chosen by one aggregate over the flags of the same scan.
     """
     n = F.size("matched")
-    flagged = scored.join(F.broadcast(anchors), "query_id").withColumn(
+    flagged = scored.join(anchors, "query_id").withColumn(
         "stage",
         F.when(n == F.size("terms"), 1).when(n >= 2, 2).when(F.array_contains("matched", F.col("anchor")), 3),
     )

@@ -9,7 +9,7 @@ from chronolex.operators import evaluation
 from chronolex.plans.aggregates import HITS, hits
 from chronolex.plans.base import query
 
-QRELS = """qrels AS (SELECT q.vec_id AS case_id, p.vec_id AS item_id, CASE WHEN p.label = q.label THEN 2 ELSE 1 END AS grade, p.vec_id % 3 AS facet FROM embeddings q JOIN embeddings p ON q.vec_id < 20 AND p.vec_id <> q.vec_id AND p.label IN (q.label, (q.label + 1) % 10)),
+QRELS = """qrels AS (SELECT q.vec_id AS case_id, p.vec_id AS item_id, CASE WHEN p.label = q.label THEN 2 ELSE 1 END AS grade, p.vec_id % 3 AS facet FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id AND p.label IN (q.label, (q.label + 1) % 10)),
 judged AS (SELECT h.query_id AS case_id, h.rank, coalesce(grade, 0) AS g FROM hits h LEFT JOIN qrels r ON r.case_id = h.query_id AND r.item_id = h.vec_id),
 ideal AS (SELECT case_id, sum((pow(2, grade) - 1) / log2(r + 1)) FILTER (r <= 5) AS idcg, count(*) FILTER (grade = 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, item_id) AS r FROM qrels) GROUP BY case_id),
 found AS (SELECT case_id, count(*) FILTER (rank <= 5 AND g > 0) / 5 AS precision, count(*) FILTER (rank <= 5 AND g = 2) / 5 AS direct_precision, count(*) FILTER (rank <= 5 AND g = 2) AS df, coalesce(sum((pow(2, g) - 1) / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg, coalesce(1.0 / min(rank) FILTER (g = 2), 0) AS mrr FROM judged GROUP BY case_id),
@@ -21,7 +21,7 @@ def _rankings(t):
 
 
 def _qrels(t):
-    q = F.broadcast(t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("case_id"), F.col("label").alias("q")))
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("q"))
     related = (F.col("label") == F.col("q")) | (F.col("label") == (F.col("q") + 1) % 10)
     rows = t.embeddings.join(q, related & (F.col("vec_id") != F.col("case_id")))
     return rows.select("case_id", F.col("vec_id").alias("item_id"), F.when(F.col("label") == F.col("q"), 2).otherwise(1).alias("grade"), (F.col("vec_id") % 3).alias("facet"))
@@ -81,12 +81,12 @@ def agg_boundary(t):
     return _metrics(t).groupBy(kind.alias("boundary")).agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.count("*").alias("n"))
 
 
-@query("m_control_pairs", f"WITH {HITS}, {QRELS} SELECT a.case_id AS a, b.case_id AS b, round(a.mrr - b.mrr, 9) AS delta, (SELECT count(*) FROM hits x JOIN hits y ON x.query_id = a.case_id AND y.query_id = b.case_id AND x.vec_id = y.vec_id) AS shared FROM metrics a JOIN metrics b ON b.case_id = a.case_id + 10")
+@query("m_control_pairs", f"WITH {HITS}, {QRELS} SELECT a.case_id AS a, b.case_id AS b, round(a.mrr - b.mrr, 9) AS delta, (SELECT count(*) FROM hits x JOIN hits y ON x.query_id = a.case_id AND y.query_id = b.case_id AND x.vec_id = y.vec_id) AS shared FROM metrics a JOIN metrics b ON b.case_id = a.case_id + 50")
 def m_control_pairs(t):
     m = _metrics(t).select("case_id", "mrr")
     tops = _rankings(t).groupBy("case_id").agg(F.collect_set("item_id").alias("top"))
     one = m.join(tops, "case_id")
-    b = one.select((F.col("case_id") - 10).alias("case_id"), F.col("case_id").alias("b"), F.col("mrr").alias("mrr_b"), F.col("top").alias("top_b"))
+    b = one.select((F.col("case_id") - 50).alias("case_id"), F.col("case_id").alias("b"), F.col("mrr").alias("mrr_b"), F.col("top").alias("top_b"))
     return one.join(b, "case_id").select(F.col("case_id").alias("a"), "b", F.round(F.col("mrr") - F.col("mrr_b"), 9).alias("delta"), F.size(F.array_intersect("top", "top_b")).cast("long").alias("shared"))
 
 

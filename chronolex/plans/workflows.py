@@ -18,14 +18,14 @@ from chronolex.sources import bundle, parsers
 
 
 @query("flagship_temporal_search", f"""WITH {VERSIONS}, valid AS (SELECT DISTINCT document_id FROM versions WHERE {AS_OF} AND {SEARCHABLE}), v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, round(list_dot_product(q.e, p.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(p.e, p.e)), 6) AS score FROM v q JOIN v p ON q.vec_id < 20 AND p.vec_id <> q.vec_id AND p.vec_id IN (SELECT document_id FROM valid)),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, round(list_dot_product(q.e, p.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(p.e, p.e)), 6) AS score FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id AND p.vec_id IN (SELECT document_id FROM valid)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), a AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r WHERE rank <= 50)
 SELECT query_id, vec_id, label, score, CAST(rank AS INTEGER) AS rank FROM a WHERE n = 1""")
 def flagship_temporal_search(t):
     """Effective periods, the as-of and search filters, exact vector ranking, one hit for each article."""
     valid = t.versions.where(as_of()).where(temporal.searchable()).select(F.col("document_id").alias("vec_id")).distinct()
     v = t.embeddings.select("vec_id", "label", V.doubles(F.col("embedding")).alias("embedding"))
-    ranked = retrieval.dense(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v.join(valid, "vec_id", "left_semi"), 50)
+    ranked = retrieval.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.join(valid, "vec_id", "left_semi"), 50)
     rows = ranked.select("*", F.col("label").alias("document_id"), F.concat(F.lit("a"), F.col("label")).alias("path"))
     return temporal.first_per_article(rows, ["query_id"], [F.asc("rank")]).select("query_id", "vec_id", "label", "score", "rank")
 
