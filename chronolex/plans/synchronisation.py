@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -14,14 +13,14 @@ from chronolex.operators import incremental, temporal
 from chronolex.plans.base import PROVISIONS, SEARCHABLE, VERSIONS, query
 from chronolex.plans.joins import INCOMING, _incoming
 from chronolex.sources import bundle, parsers
+from chronolex.sources.shared import new_folder
 from chronolex.streaming import events as S
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def _folder(t, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, name)
 
 
 def _bodies(t, xml: bool = False):
