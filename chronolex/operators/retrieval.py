@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import vectors as V
 
+WORD = r"[\p{L}\p{N}]+"
+
 
 def candidate_limit(limit: Column | int) -> Column:
     return F.least(F.greatest((limit if isinstance(limit, Column) else F.lit(limit)) * 5, F.lit(50)), F.lit(200))
@@ -35,37 +37,77 @@ def dense(queries: DataFrame, passages: DataFrame, k: int, digits: int = 6, same
     return top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
-def keyword_scores(queries: DataFrame, passages: DataFrame, title: str = "title", heading: str = "heading", content: str = "content") -> DataFrame:
-    """``queries`` (query_id, terms) against passages: matched terms and the score 3, 2, 1 by field a term occurs in.
+#: What a term counts by the field that holds it.
+FIELD_POINTS = {"title": 3, "heading": 2, "content": 1}
+
 
-    One scan serves every stage of the cascade. Spark broadcasts the queries if their size allows it.
+def keyword_matches(queries: DataFrame, passages: DataFrame, same_id: bool = False) -> DataFrame:
+    """``queries`` (query_id, terms, anchor) against ``passages`` (passage_id, title, heading, content), by whole words.
+
+    An inverted list: the distinct words of each field meet the terms by an equi-join, so only passages with a term of
+    the query come out, and one aggregation gives what every score and every stage of the cascade needs: n_terms,
+    matched (the distinct terms, at most a query's few), anchored, points (3, 2, 1 by field), title_terms, text_terms and
+    text_points (both without the title). Passages without a term, and queries without terms, give no row.
     """
-    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (title, heading, content)}
-    pairs = passages.select("*", *[v.alias(f"_{k}") for k, v in low.items()]).crossJoin(queries.select("query_id", "terms"))
-    has = lambda c, t: F.contains(F.col(f"_{c}"), t)
-    points = F.aggregate(
-        "terms", F.lit(0).cast("long"),
-        lambda s, t: s + F.when(has(title, t), 3).otherwise(0) + F.when(has(heading, t), 2).otherwise(0) + F.when(has(content, t), 1).otherwise(0),
+
+    def words(field: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(field), F.lit(""))), F.lit(WORD), F.lit(0)))
+        return F.transform(found, lambda w: F.struct(w.alias("term"), F.lit(FIELD_POINTS[field]).alias("points")))
+
+    postings = passages.select("passage_id", F.inline(F.concat(*[words(field) for field in FIELD_POINTS])))
+    asked = queries.select("query_id", F.size("terms").alias("n_terms"), "anchor", F.explode("terms").alias("term"))
+    met = postings.join(asked, "term")
+    if not same_id:
+        met = met.where("query_id <> passage_id")
+    in_text = F.col("points") < FIELD_POINTS["title"]
+    return met.groupBy("query_id", "passage_id").agg(
+        F.max("n_terms").alias("n_terms"), F.collect_set("term").alias("matched"), F.bool_or(F.col("term") == F.col("anchor")).alias("anchored"), F.sum("points").alias("points"),
+        F.count_if(~in_text).alias("title_terms"), F.size(F.collect_set(F.when(in_text, F.col("term")))).alias("text_terms"), F.sum(F.when(in_text, F.col("points")).otherwise(0)).alias("text_points"),
     )
-    matched = F.filter("terms", lambda t: has(title, t) | has(heading, t) | has(content, t))
-    return pairs.withColumn("matched", matched).withColumn("score", points).drop(*[f"_{c}" for c in low]).where("score > 0")
 
 
-def cascade(scored: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The first stage with a hit of each query: all terms, at least two, at least one with the anchor; else nothing.
+def boolean_scores(matches: DataFrame) -> DataFrame:
+    """Passages whose title, or whose text, holds all terms: 3 for the title and, for the text, its points, at least 1."""
+    by_title, by_text = F.col("title_terms") == F.col("n_terms"), F.col("text_terms") == F.col("n_terms")
+    score = F.when(by_title, 3).otherwise(0) + F.when(by_text, F.greatest("text_points", F.lit(1))).otherwise(0)
+    return matches.where(by_title | by_text).withColumn("score", score)
 
-    ``scored`` comes from keyword_scores with ``terms`` kept, ``anchors`` (query_id, anchor) names the term that a
-    single match must hold. Stages are chosen by one aggregate over the flags of the same scan.
-    """
+
+def _stage_flags() -> dict[str, Column]:
+    """Which stages of the cascade accept a passage; two matches are only a pool, from which the anchor picks."""
     n = F.size("matched")
-    flagged = scored.join(anchors, "query_id").withColumn(
-        "stage",
-        F.when(n == F.size("terms"), 1).when(n >= 2, 2).when(F.array_contains("matched", F.col("anchor")), 3),
-    )
-    best = flagged.where("stage is not null").withColumn("best", F.min("stage").over(Window.partitionBy("query_id")))
-    names = F.element_at(F.array(F.lit("all_terms"), F.lit("minimum_two"), F.lit("anchor_required")), F.col("best"))
-    kept = best.where((F.col("stage") <= F.col("best"))).withColumn("strategy", names)
-    return top(kept, ["query_id"], [F.desc("score"), F.asc("passage_id")], k)
+    two = n >= F.least(F.lit(2), F.col("n_terms"))
+    return {"all_terms": n == F.col("n_terms"), "minimum_two": two, "anchor_required": two & F.col("anchored")}
+
+
+def cascade(matches: DataFrame, k: int) -> DataFrame:
+    """The first k passages of each query by the first stage that accepts one: all terms, or two with the anchor; else none."""
+    flags = _stage_flags()
+    stage = F.when(flags["all_terms"], "all_terms").when(flags["anchor_required"], "anchor_required")
+    kept = matches.withColumn("strategy", stage).where("strategy is not null")
+    w = Window.partitionBy("query_id").orderBy("strategy", F.desc("points"), "passage_id")  # all_terms sorts first
+    first = kept.withColumn("best", F.first("strategy").over(w)).withColumn("rank", F.row_number().over(w))
+    return first.where((F.col("rank") <= k) & (F.col("strategy") == F.col("best"))).drop("best")
+
+
+def cascade_stages(queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """query_id, place, stage, accepted and status of the stages each query went through, for its diagnostics.
+
+    The walk ends at the first match. Below three terms the later plans equal the first and are skipped; a query that no
+    stage answers ends in insufficient_evidence. Queries without any match are kept.
+    """
+    counts = matches.groupBy("query_id").agg(*[F.count_if(f).alias(f"n_{name}") for name, f in _stage_flags().items()])
+    rows = queries.select("query_id", "anchor", F.size("terms").alias("n_terms")).join(counts, "query_id", "left").na.fill(0, ["n_all_terms", "n_minimum_two", "n_anchor_required"])
+    every, two, anchored = (F.col(f"n_{name}") for name in ("all_terms", "minimum_two", "anchor_required"))
+    same_plan = F.col("n_terms") <= 2
+    stage = lambda name, n, status: F.struct(F.lit(name).alias("stage"), n.cast("long").alias("accepted"), status.alias("status"))
+    walked = [
+        stage("all_terms", every, F.when(every > 0, "matched").otherwise("no_match")),
+        F.when(every == 0, stage("minimum_two", two, F.when(two > 0, "candidate_pool").when(same_plan, "skipped_duplicate_query").otherwise("no_match"))),
+        F.when(every == 0, stage("anchor_required", anchored, F.when(anchored > 0, "matched").when(F.col("anchor").isNull(), "skipped_no_anchor").when(same_plan, "skipped_duplicate_query").otherwise("no_match"))),
+        F.when((every == 0) & (anchored == 0), stage("insufficient_evidence", F.lit(0), F.lit("insufficient_evidence"))),
+    ]
+    return rows.select("query_id", F.posexplode(F.filter(F.array(*walked), lambda x: x.isNotNull())).alias("place", "s")).select("query_id", "place", "s.*")
 
 
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int = 60, most: int = 50) -> DataFrame:

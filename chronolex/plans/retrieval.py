@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronolex.functions import references as R
+from chronolex.functions import text as X
 from chronolex.functions import vectors as V
 from chronolex.operators import retrieval, selection, temporal
 from chronolex.plans.aggregates import HITS, hits
-from chronolex.plans.base import PROVISIONS, VERSIONS, query
-from chronolex.plans.scans import AS_OF, as_of
+from chronolex.plans.base import PROVISIONS, SEARCHABLE, VERSIONS, query
+from chronolex.plans.scans import AS_OF, ROUTE, as_of, route_of
 
 
-@query("q_direct_path", f"WITH {PROVISIONS} SELECT p.provision_id, CAST(a.i AS BIGINT) AS requested FROM (SELECT i, 'd' || (i * 7) || '/p' || (i % 4) AS path FROM generate_series(0, 99) AS g(i)) a JOIN provisions p USING (path)")
+#: Questions that name a document and its articles, by every fiftieth customer: two articles, a range, a range that runs
+#: backwards, and a title that no document has.
+_ASKED = (" 제2조 및 제4조는?", " 제1조부터 제3조까지", " 제5조부터 제2조까지", " 제1조는?")
+
+
+@query("q_direct_path", f"""WITH {VERSIONS}, asked AS (SELECT c_custkey AS query_id, c_custkey // 50 % 4 AS kind FROM customer WHERE c_custkey % 50 = 0),
+paths AS (SELECT query_id, unnest(CASE kind WHEN 0 THEN [2, 4] WHEN 1 THEN [1, 2, 3] ELSE [] END) AS n FROM asked),
+found AS (SELECT query_id, version_id, n, row_number() OVER (PARTITION BY query_id ORDER BY n, version_id) AS rank FROM paths JOIN versions ON document_id = query_id JOIN lineitem ON l_orderkey = version_id AND l_linenumber = n WHERE {AS_OF} AND {SEARCHABLE})
+SELECT query_id, CASE kind WHEN 2 THEN 'descending_range' WHEN 3 THEN 'unknown_title' ELSE 'ok' END AS status, version_id, '제' || n || '조' AS path, CAST(rank AS INTEGER) AS rank FROM asked LEFT JOIN (SELECT * FROM found WHERE rank <= 10) USING (query_id)""")
 def q_direct_path(t):
-    asked = t.spark.range(100).select(F.col("id").alias("requested"), F.concat(F.lit("d"), F.col("id") * 7, F.lit("/p"), F.col("id") % 4).alias("path"))
-    return t.provisions.join(F.broadcast(asked), "path").select("provision_id", "requested")
+    """Questions read as a title and paths, then provisions by title and path as of a date; never a lexical search.
+
+    The questions name customers as documents, and lines of orders are their articles. An unknown title or a refused
+    range keeps its row with the reason and finds nothing.
+    """
+    tail = F.element_at(F.array(*[F.lit(x) for x in _ASKED]), (F.floor(F.col("c_custkey") / 50) % 4 + 1).cast("int"))
+    name = F.when(F.floor(F.col("c_custkey") / 50) % 4 == 3, F.concat(F.lit("No "), "c_name")).otherwise(F.col("c_name"))
+    asked = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(name, tail).alias("question"))
+    titles = t.customer.select(F.lower(F.col("c_name")).alias("title"), F.col("c_custkey").alias("document_id"))
+    read = asked.select("query_id", R.with_arabic_numbers(F.col("question")).alias("q"))
+    read = read.select("query_id", F.lower(F.regexp_extract("q", r"^(.*?)\s*제\s*\d", 1)).alias("title"), R.references(F.col("q")).alias("r")).join(titles, "title", "left")
+    status = F.when(F.col("document_id").isNull(), "unknown_title").otherwise(F.coalesce("r.invalid", F.lit("ok")))
+    read = read.select("query_id", "document_id", status.alias("status"), "r.paths")
+    wanted = read.where("status = 'ok'").select("query_id", "document_id", F.explode("paths").alias("path"))
+    current = t.versions.where(as_of()).where(temporal.searchable()).select("document_id", "version_id")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("제"), "l_linenumber", F.lit("조")).alias("path"))
+    found = retrieval.top(wanted.join(current, "document_id").join(lines, ["version_id", "path"]), ["query_id"], [F.asc("n"), F.asc("version_id")], 10)
+    return read.select("query_id", "status").join(found.select("query_id", "version_id", "path", "rank"), "query_id", "left")
 
 
 _DENSE = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), f AS (SELECT * FROM v WHERE {keep}),
@@ -49,44 +74,74 @@ def q_as_of_dense(t):
     return retrieval.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.join(valid, "vec_id", "left_semi"), 11).select("query_id", "vec_id", "label", "score", "rank")
 
 
-def _keyword(t):
-    words = F.split(F.lower("p_name"), " ")
-    queries = t.part.where("p_partkey < 25").select(F.col("p_partkey").alias("query_id"), F.array(F.lower("p_brand"), F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.lit("promo")).alias("terms"))
-    parts = t.part.select(F.col("p_partkey").alias("passage_id"), F.col("p_brand").alias("title"), F.col("p_type").alias("heading"), F.col("p_name").alias("content"))
-    return queries, parts
+STOP = ("the", "of", "and")
+
+
+def questions(t):
+    """Every fiftieth document as a question: its first terms, and the longest of them as anchor."""
+    q = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text", X.terms(F.coalesce("text", F.lit("")), STOP).alias("terms"))
+    longest = F.get(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(0))["w"]
+    return q.withColumn("anchor", longest)
+
 
+def passages(t):
+    """Documents as passages: the first line is the title, the second the heading, the rest the content."""
+    lines = F.split("text", "\n", 3)
+    return t.documents.select(F.col("doc_id").alias("passage_id"), *[F.get(lines, F.lit(i)).alias(c) for i, c in enumerate(("title", "heading", "content"))])
 
-KEYWORD = """q AS (SELECT p_partkey AS query_id, [lower(p_brand), string_split(lower(p_name), ' ')[1], string_split(lower(p_name), ' ')[2], 'promo'] AS terms FROM part WHERE p_partkey < 25),
-e AS (SELECT query_id, p_partkey AS passage_id, unnest(terms) AS term, p_brand, p_type, p_name, len(terms) AS n_terms, terms[1] AS anchor FROM q CROSS JOIN part),
-k AS (SELECT query_id, passage_id, n_terms, anchor, sum(3 * CAST(contains(lower(p_brand), term) AS INT) + 2 * CAST(contains(lower(p_type), term) AS INT) + CAST(contains(lower(p_name), term) AS INT)) AS score,
-  count(*) FILTER (contains(lower(p_brand), term) OR contains(lower(p_type), term) OR contains(lower(p_name), term)) AS n, max(term = anchor AND (contains(lower(p_brand), term) OR contains(lower(p_type), term) OR contains(lower(p_name), term))) AS anchored FROM e GROUP BY ALL HAVING score > 0)"""
 
+def _matches(t):
+    return retrieval.keyword_matches(questions(t), passages(t))
 
-@query("q_keyword_memory", f"WITH {KEYWORD} SELECT query_id, passage_id, CAST(score AS BIGINT) AS score FROM k")
+
+KEYWORD = r"""q AS (SELECT query_id, text, terms, CASE WHEN len(terms) > 0 THEN list_sort(list_transform(terms, lambda w: {'l': -length(w), 'w': w}))[1].w END AS anchor FROM (
+  SELECT query_id, text, list_transform(list_slice(list_sort(list_transform(list_distinct(ws), lambda w: list_position(ws, w))), 1, 5), lambda p: ws[p]) AS terms FROM (
+  SELECT doc_id AS query_id, text, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and')) AS ws FROM documents WHERE doc_id % 50 = 0))),
+lines AS (SELECT doc_id AS passage_id, string_split(lower(text), chr(10)) AS l FROM documents),
+postings AS (SELECT passage_id, points, unnest(list_distinct(regexp_extract_all(field, '[\p{L}\p{N}]+'))) AS term FROM (
+  SELECT passage_id, 3 AS points, l[1] AS field FROM lines UNION ALL SELECT passage_id, 2, coalesce(l[2], '') FROM lines UNION ALL SELECT passage_id, 1, array_to_string(l[3:], chr(10)) FROM lines)),
+k AS (SELECT query_id, passage_id, n_terms, sum(points) AS points, count(DISTINCT term) AS n, bool_or(term = anchor) AS anchored, count(*) FILTER (points = 3) AS title_terms,
+  count(DISTINCT term) FILTER (points < 3) AS text_terms, coalesce(sum(points) FILTER (points < 3), 0) AS text_points
+  FROM postings JOIN (SELECT query_id, len(terms) AS n_terms, anchor, unnest(terms) AS term FROM q) USING (term) WHERE query_id <> passage_id GROUP BY query_id, passage_id, n_terms)"""
+CASCADE = """staged AS (SELECT query_id, passage_id, points, CASE WHEN n = n_terms THEN 'all_terms' WHEN n >= least(2, n_terms) AND anchored THEN 'anchor_required' END AS strategy FROM k),
+best AS (SELECT *, min(strategy) OVER (PARTITION BY query_id) AS best FROM staged WHERE strategy IS NOT NULL),
+answers AS (SELECT query_id, passage_id, strategy, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, passage_id) AS rank FROM best WHERE strategy = best)"""
+
+
+@query("q_keyword_memory", f"WITH {KEYWORD} SELECT query_id, passage_id, CAST(points AS BIGINT) AS score FROM k")
 def q_keyword_memory(t):
-    return retrieval.keyword_scores(*_keyword(t)).select("query_id", "passage_id", "score")
+    return _matches(t).select("query_id", "passage_id", F.col("points").alias("score"))
 
 
-@query("q_keyword_scored", f"WITH {KEYWORD} SELECT query_id, passage_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM k WHERE n = n_terms) WHERE rank <= 10")
+@query("q_keyword_scored", f"""WITH {KEYWORD}, s AS (SELECT query_id, passage_id, CASE WHEN title_terms = n_terms THEN 3 ELSE 0 END + CASE WHEN text_terms = n_terms THEN greatest(text_points, 1) ELSE 0 END AS score FROM k WHERE title_terms = n_terms OR text_terms = n_terms)
+SELECT query_id, passage_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM s) WHERE rank <= 10""")
 def q_keyword_scored(t):
-    scored = retrieval.keyword_scores(*_keyword(t)).where(F.size("matched") == F.size("terms"))
-    return retrieval.top(scored, ["query_id"], [F.desc("score"), F.asc("passage_id")], 10).select("query_id", "passage_id", "score", "rank")
+    return retrieval.top(retrieval.boolean_scores(_matches(t)), ["query_id"], [F.desc("score"), F.asc("passage_id")], 10).select("query_id", "passage_id", "score", "rank")
 
 
-@query("q_four_stage_cascade", f"""WITH {KEYWORD}, staged AS (SELECT *, CASE WHEN n = n_terms THEN 1 WHEN n >= 2 THEN 2 WHEN anchored THEN 3 END AS stage FROM k), b AS (SELECT *, min(stage) OVER (PARTITION BY query_id) AS best FROM staged WHERE stage IS NOT NULL)
-SELECT query_id, passage_id, ['all_terms', 'minimum_two', 'anchor_required'][best] AS strategy, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM b WHERE stage <= best) WHERE rank <= 10""")
+@query("q_four_stage_cascade", f"WITH {KEYWORD}, {CASCADE} SELECT query_id, passage_id, strategy, CAST(rank AS INTEGER) AS rank FROM answers WHERE rank <= 10")
 def q_four_stage_cascade(t):
-    queries, parts = _keyword(t)
-    anchors = queries.select("query_id", F.get("terms", F.lit(0)).alias("anchor"))
-    return retrieval.cascade(retrieval.keyword_scores(queries, parts), anchors, 10).select("query_id", "passage_id", "strategy", "rank")
+    return retrieval.cascade(_matches(t), 10).select("query_id", "passage_id", "strategy", "rank")
+
+
+@query("q_cascade_stages", f"""WITH {KEYWORD}, c AS (SELECT query_id, count(*) FILTER (n = n_terms) AS every, count(*) FILTER (n >= least(2, n_terms)) AS two, count(*) FILTER (n >= least(2, n_terms) AND anchored) AS held FROM k GROUP BY query_id),
+a AS (SELECT query_id, anchor, len(terms) AS n_terms, coalesce(every, 0) AS every, coalesce(two, 0) AS two, coalesce(held, 0) AS held FROM q LEFT JOIN c USING (query_id))
+SELECT query_id, 'all_terms' AS stage, every AS accepted, CASE WHEN every > 0 THEN 'matched' ELSE 'no_match' END AS status FROM a
+UNION ALL SELECT query_id, 'minimum_two', two, CASE WHEN two > 0 THEN 'candidate_pool' WHEN n_terms <= 2 THEN 'skipped_duplicate_query' ELSE 'no_match' END FROM a WHERE every = 0
+UNION ALL SELECT query_id, 'anchor_required', held, CASE WHEN held > 0 THEN 'matched' WHEN anchor IS NULL THEN 'skipped_no_anchor' WHEN n_terms <= 2 THEN 'skipped_duplicate_query' ELSE 'no_match' END FROM a WHERE every = 0
+UNION ALL SELECT query_id, 'insufficient_evidence', 0, 'insufficient_evidence' FROM a WHERE every = 0 AND held = 0""")
+def q_cascade_stages(t):
+    return retrieval.cascade_stages(questions(t), _matches(t)).select("query_id", "stage", "accepted", "status")
 
 
-@query("q_hybrid_rrf", f"""WITH {HITS}, b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY label, vec_id) AS r FROM hits), a AS (SELECT query_id, vec_id, rank AS r FROM hits WHERE rank <= 6)
-SELECT query_id, vec_id AS item_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (query_id, vec_id)""")
+@query("q_hybrid_rrf", f"""WITH {KEYWORD}, {HITS.replace('rank <= 10', 'rank <= 50')}, a AS (SELECT query_id, passage_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, passage_id) AS r FROM k),
+x AS (SELECT * FROM a WHERE r <= 50), y AS (SELECT query_id, vec_id AS item_id, rank AS r FROM hits)
+SELECT query_id, item_id, round(coalesce(1.0 / (60 + x.r), 0) + coalesce(1.0 / (60 + y.r), 0), 9) AS score FROM x FULL JOIN y USING (query_id, item_id)""")
 def q_hybrid_rrf(t):
-    base = hits(t).select("query_id", F.col("vec_id").alias("item_id"), "label", "rank")
-    b = base.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "item_id")))
-    return retrieval.reciprocal_rank_fusion(base.where("rank <= 6"), b).select("query_id", "item_id", F.round("score", 9).alias("score"))
+    """The first fifty by keywords and the first fifty by vectors of the same questions, fused by their ranks."""
+    words = retrieval.top(_matches(t), ["query_id"], [F.desc("points"), F.asc("passage_id")], 50).withColumnRenamed("passage_id", "item_id")
+    vectors = hits(t, 50).withColumnRenamed("vec_id", "item_id")
+    return retrieval.reciprocal_rank_fusion(words, vectors).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
 @query("q_provision_lookup", f"WITH {VERSIONS} SELECT version_id, effective_from FROM versions WHERE version_id = 7 AND {AS_OF.replace('1996-06-30', '2000-08-01')}")
@@ -160,10 +215,49 @@ def q_route_blocked(t):
     return t.benchmark.select("item_id", F.format_string("The question %d (%d characters) is %s.", "item_id", F.length("text"), F.when(F.length("text") > 250, "too long").otherwise("not a search")).alias("answer"))
 
 
-@query("q_agent_graph", f"WITH {HITS} SELECT query_id, CASE WHEN query_id % 7 = 0 THEN 'blocked' WHEN count(*) FILTER (score > 0.25) = 0 THEN 'no_evidence' WHEN count(DISTINCT label) > 5 THEN 'clarify' ELSE 'answer' END AS outcome FROM hits GROUP BY query_id")
+EVIDENCE = f"""routed AS (SELECT query_id, len(terms) AS n_terms, {ROUTE} AS route FROM q),
+open AS (SELECT query_id FROM routed WHERE route <> 'realtime' AND n_terms >= 2), by_words AS (SELECT query_id, passage_id AS item_id, rank FROM answers JOIN open USING (query_id) WHERE rank <= 10),
+evidence AS (SELECT query_id, 'keyword' AS channel, item_id, rank FROM by_words UNION ALL
+  SELECT query_id, 'vector', vec_id, rank FROM hits JOIN open USING (query_id) WHERE score >= 0.2 AND query_id NOT IN (SELECT query_id FROM by_words))"""
+
+
+def _routed(t):
+    return questions(t).select("query_id", F.size("terms").alias("n_terms"), route_of(F.col("text")).alias("route"))
+
+
+def evidence(t):
+    """query_id, channel, item_id and rank: the keyword cascade's answers, and vector hits where it has none.
+
+    Questions that are blocked by their route or too short to search find nothing.
+    """
+    searched = _routed(t).where("coalesce(route, '') <> 'realtime' and n_terms >= 2").select("query_id")
+    by_words = retrieval.cascade(_matches(t), 10).join(searched, "query_id", "left_semi").select("query_id", F.lit("keyword").alias("channel"), F.col("passage_id").alias("item_id"), "rank")
+    unanswered = searched.join(by_words, "query_id", "left_anti")
+    by_vectors = hits(t).where("score >= 0.2").join(unanswered, "query_id", "left_semi").select("query_id", F.lit("vector").alias("channel"), F.col("vec_id").alias("item_id"), "rank")
+    return by_words.unionByName(by_vectors)
+
+
+@query("q_question_pipeline", f"""WITH {KEYWORD}, {CASCADE}, {HITS}, {EVIDENCE}, e AS (SELECT query_id, max(channel) AS channel, count(*) AS n FROM evidence GROUP BY query_id)
+SELECT query_id, route, coalesce(channel, 'none') AS channel, coalesce(n, 0) AS n_hits,
+  CASE WHEN route = 'realtime' THEN 'blocked' WHEN n_terms < 2 THEN 'clarify' WHEN n IS NULL THEN 'no_result' WHEN n >= 2 THEN 'answered' ELSE 'search_only' END AS outcome FROM routed LEFT JOIN e USING (query_id)""")
+def q_question_pipeline(t):
+    """Route, keyword cascade, vector fallback and the gate before an answer, as one plan for all questions."""
+    found = evidence(t).groupBy("query_id").agg(F.max("channel").alias("channel"), F.count("*").alias("n"))
+    outcome = F.when(F.col("route") == "realtime", "blocked").when(F.col("n_terms") < 2, "clarify").when(F.col("n").isNull(), "no_result").when(F.col("n") >= 2, "answered").otherwise("search_only")
+    joined = _routed(t).join(found, "query_id", "left")
+    return joined.select("query_id", "route", F.coalesce("channel", F.lit("none")).alias("channel"), F.coalesce("n", F.lit(0)).alias("n_hits"), outcome.alias("outcome"))
+
+
+@query("q_agent_graph", f"""WITH {KEYWORD}, {CASCADE}, {HITS}, {EVIDENCE}, found AS (SELECT query_id, list(item_id) AS ids FROM evidence GROUP BY query_id), draft AS (SELECT query_id, list(vec_id) AS cited FROM hits WHERE rank <= 2 GROUP BY query_id)
+SELECT query_id, CASE WHEN route = 'realtime' THEN 'blocked' WHEN ids IS NULL THEN 'no_evidence' WHEN cited IS NOT NULL AND list_has_all(ids, cited) THEN 'answer' ELSE 'rejected' END AS outcome FROM routed LEFT JOIN found USING (query_id) LEFT JOIN draft USING (query_id)""")
 def q_agent_graph(t):
-    outcome = F.when(F.col("query_id") % 7 == 0, "blocked").when(F.count_if(F.col("score") > 0.25) == 0, "no_evidence").when(F.count_distinct("label") > 5, "clarify").otherwise("answer")
-    return hits(t).groupBy("query_id").agg(outcome.alias("outcome"))
+    """Route, search, draft and validation: a draft, which cites the two nearest vectors, goes out if the search found both."""
+    found = evidence(t).groupBy("query_id").agg(F.collect_list(F.col("item_id").cast("string")).alias("ids"))
+    draft = hits(t, 2).groupBy("query_id").agg(F.collect_list(F.col("vec_id").cast("string")).alias("cited"))
+    rows = _routed(t).join(found, "query_id", "left").join(draft, "query_id", "left")
+    sections = F.array(F.struct(F.coalesce("cited", F.array().cast("array<string>")).alias("citation_ids")))
+    valid = selection.structurally_grounded(sections, F.col("ids"), F.lit("answer"))
+    return rows.select("query_id", F.when(F.col("route") == "realtime", "blocked").when(F.col("ids").isNull(), "no_evidence").when(valid, "answer").otherwise("rejected").alias("outcome"))
 
 
 @query("q_v2_ready", "SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) = 'purchase' AS ready FROM events GROUP BY user_id")

@@ -254,11 +254,18 @@ def query_plans(t):
     return ws.select("item_id", F.array_join("ws", " AND ").alias("strict"), F.concat_ws(" OR ", pair(0, 1), pair(0, 2), pair(1, 2)).alias("pairwise"))
 
 
-@query("route_rules", r"""SELECT item_id, CASE WHEN regexp_matches(lower(text), '^(is|are)\b') THEN 'realtime' WHEN contains(lower(text), 'ation') AND length(text) > 200 THEN 'document' WHEN regexp_matches(lower(text), '\bif\b|\bfor\b') THEN 'conditional' ELSE 'search' END AS route FROM benchmark""")
+ROUTE = r"CASE WHEN regexp_matches(lower(text), '^(is|are)\b') THEN 'realtime' WHEN contains(lower(text), 'ation') AND length(text) > 200 THEN 'document' WHEN regexp_matches(lower(text), '\bif\b|\bfor\b') THEN 'conditional' ELSE 'search' END"
+
+
+def route_of(text):
+    """The first rule that fits a question decides its route; plain search is the rest."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"^(is|are)\b"), "realtime").when(F.contains(low, F.lit("ation")) & (F.length(text) > 200), "document").when(low.rlike(r"\bif\b|\bfor\b"), "conditional").otherwise("search")
+
+
+@query("route_rules", f"SELECT item_id, {ROUTE} AS route FROM benchmark")
 def route_rules(t):
-    low = F.lower("text")
-    route = F.when(low.rlike(r"^(is|are)\b"), "realtime").when(F.contains(low, F.lit("ation")) & (F.length("text") > 200), "document").when(low.rlike(r"\bif\b|\bfor\b"), "conditional").otherwise("search")
-    return t.benchmark.select("item_id", route.alias("route"))
+    return t.benchmark.select("item_id", route_of(F.col("text")).alias("route"))
 
 
 @query("trigram_set_jaccard", """WITH g AS (SELECT n_nationkey, list_distinct(list_transform(generate_series(1, greatest(length(replace(n_name, ' ', '')) - 2, 0)), lambda i: substring(replace(n_name, ' ', ''), i, 3))) AS s FROM nation)

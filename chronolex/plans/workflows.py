@@ -143,16 +143,6 @@ def q_exp_search(t):
     return selection.group_articles(hits(t), ["query_id"], "label").where("n_hits >= 2").select("query_id", "label", F.col("best_score").alias("best"), F.col("n_hits").alias("n"))
 
 
-@query("q_question_pipeline", f"""WITH {HITS} SELECT query_id, CASE WHEN query_id % 6 = 0 THEN 'blocked' WHEN max(score) < 0.2 THEN 'no_result' WHEN count(*) FILTER (score >= 0.25) >= 2 THEN 'answered' ELSE 'search_only' END AS outcome,
-CASE WHEN query_id % 6 = 0 THEN 0 ELSE count(*) FILTER (score >= 0.25) END AS evidence FROM hits GROUP BY query_id""")
-def q_question_pipeline(t):
-    """Routing, retrieval, evidence and gate as columns of one plan for all questions."""
-    routed = hits(t).withColumn("blocked", F.col("query_id") % 6 == 0)
-    strong = F.count_if(F.col("score") >= 0.25)
-    outcome = F.when(F.bool_or("blocked"), "blocked").when(F.max("score") < 0.2, "no_result").when(strong >= 2, "answered").otherwise("search_only")
-    return routed.groupBy("query_id").agg(outcome.alias("outcome"), F.when(F.bool_or("blocked"), 0).otherwise(strong).alias("evidence"))
-
-
 @query("q_changes_api", f"WITH {INCOMING} SELECT s.doc_id FROM documents s JOIN incoming i USING (doc_id) WHERE s.text IS DISTINCT FROM i.text")
 def q_changes_api(t):
     found = incremental.diff(t.documents, _incoming(t), "doc_id", ["text"], ["text"])
