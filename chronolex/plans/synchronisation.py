@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import hashing as H
 from chronolex.functions import text as X
-from chronolex.operators import incremental, temporal
+from chronolex.operators import activation, incremental, temporal
 from chronolex.plans.base import PROVISIONS, SEARCHABLE, VERSIONS, query
 from chronolex.plans.joins import INCOMING, _incoming
 from chronolex.sources import bundle, parsers
@@ -237,10 +237,32 @@ def inc_provision_sync(t):
     return found.groupBy("state").agg(F.count("*").alias("n"), F.count_if("stale_embedding").alias("n_stale"), F.count_if("stale_derived").alias("n_derived"))
 
 
-@query("inc_version_changed", f"WITH {INCOMING} SELECT s.doc_id, CASE WHEN s.text IS DISTINCT FROM i.text THEN 'text' ELSE '' END || CASE WHEN s.text IS DISTINCT FROM i.text AND s.source IS DISTINCT FROM i.source THEN ',' ELSE '' END || CASE WHEN s.source IS DISTINCT FROM i.source THEN 'source' ELSE '' END AS changed FROM documents s JOIN incoming i USING (doc_id) WHERE s.text IS DISTINCT FROM i.text OR s.source IS DISTINCT FROM i.source")
+#: What is compared between two states of a version, in this order.
+VERSION_FIELDS = (
+    "promulgation_number", "promulgated_on", "effective_from", "effective_to", "ministry", "source_url", "raw_format", "raw_sha256", "raw_storage_path", "parser_schema_version", "fallback_reason", "lifecycle_state",
+    "source_record_state", "source_deleted_on", "has_supplementary_provisions",
+)
+
+
+def _version_states(t, incoming: bool):
+    """Orders as version records; in the incoming ones field i differs where the order's number is divisible by i + 7."""
+    day, key, text = F.to_date("o_orderdate"), F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    sha = F.sha2(text, 256)
+    fields = [
+        text, day, day, F.lit(None).cast("date"), F.col("o_orderpriority"), F.concat(F.lit("/law/"), text), F.lit("json"), sha, F.concat(F.lit("raw/"), sha), F.lit("3"), F.lit(None).cast("string"),
+        F.when(F.col("o_orderstatus") == "F", "active").otherwise("scheduled"), F.lit("available"), F.lit(None).cast("date"), F.lit(False),
+    ]
+    if incoming:
+        other = {"date": F.lit("2030-01-01").cast("date"), "string": F.lit("other"), "boolean": F.lit(True)}
+        kinds = ["date" if n.endswith("_on") or n.startswith("effective") else "boolean" if n.startswith("has_") else "string" for n in VERSION_FIELDS]
+        fields = [F.when(key % (i + 7) == 0, other[kind]).otherwise(f) for i, (f, kind) in enumerate(zip(fields, kinds, strict=True))]
+    return t.orders.select(key.alias("version_id"), *[f.alias(n) for f, n in zip(fields, VERSION_FIELDS, strict=True)])
+
+
+@query("inc_version_changed", "SELECT * FROM (SELECT o_orderkey AS version_id, concat_ws(',', " + ", ".join(f"CASE WHEN o_orderkey % {i + 7} = 0 THEN '{n}' END" for i, n in enumerate(VERSION_FIELDS)) + ") AS changed FROM orders) WHERE changed <> ''")
 def inc_version_changed(t):
-    found = incremental.diff(t.documents, _incoming(t), "doc_id", ["text", "source"], ["text"]).where("state = 'updated'")
-    return found.select("doc_id", F.array_join("changed", ",").alias("changed"))
+    found = incremental.diff(_version_states(t, False), _version_states(t, True), "version_id", list(VERSION_FIELDS), ["raw_sha256"]).where("state = 'updated'")
+    return found.select("version_id", F.array_join("changed", ",").alias("changed"))
 
 
 @query("inc_has_changes", f"WITH {INCOMING} SELECT (SELECT count(*) FROM incoming i LEFT JOIN documents s USING (doc_id) WHERE s.text IS DISTINCT FROM i.text) > 0 AS changed")
@@ -293,10 +315,41 @@ def inc_publish(t):
     return incremental.active(t.spark, root).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("inc_activation_rules", "SELECT o_orderkey, CASE WHEN o_totalprice < 5000 THEN 'price' WHEN o_orderstatus = 'P' THEN 'abolished' WHEN CAST(o_orderdate AS DATE) > DATE '2001-01-01' THEN 'scheduled' ELSE 'active' END AS lifecycle FROM orders")
+def _activation_input(t):
+    """Orders as versions and their lines as articles with a paragraph each; the order's number plants one fault in most of them."""
+    k = F.col("o_orderkey") % 29
+    at = lambda i, bad, good: F.when(k == i, bad).otherwise(good)
+    none = F.lit(None).cast("string")
+    body = F.concat(F.lit('{"id":'), "o_orderkey", at(20, F.lit(',"폐지일자":"20200101"'), F.lit("")), at(21, F.lit(',"삭제여부":"Y"'), F.lit("")), at(22, F.lit(',"부칙":{"부칙내용":"1"}'), F.lit("")), at(23, F.lit(',"폐지여부":"N"'), F.lit("")), F.lit("}"))
+    day = F.to_date("o_orderdate")
+    versions = t.orders.select(
+        F.col("o_orderkey").alias("version_id"), at(1, F.lit(" "), F.lit("title")).alias("title"), at(2, F.lit(""), F.col("o_custkey").cast("string")).alias("source_id"), at(3, none, F.col("o_orderkey").cast("string")).alias("mst"),
+        at(4, F.lit(None).cast("date"), day).alias("effective_from"), at(5, F.lit("2"), F.lit("3")).alias("parser_version"), F.lit("law").alias("source_kind"), at(16, F.lit("xml"), F.lit("json")).alias("raw_format"),
+        F.lit("JSON").alias("wire_format"), at(17, F.lit("0"), F.sha2(body, 256)).alias("raw_sha256"), body.alias("body"), k.alias("k"),
+    )
+    lines = t.lineitem.select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("n")).distinct().join(versions.where("k <> 6").select("version_id", "k", "effective_from", "mst", "source_id"), "version_id")
+    root = F.concat(F.when((F.col("k") == 10) & (F.col("n") == 1), "부록").otherwise("제"), "n", F.lit("조"))
+    on = lambda i: (F.col("k") == i) & (F.col("n") == 1)
+    article = F.struct(root.alias("path"), none.alias("parent_path"), F.when(on(8), " ").when(on(12), "제1장 총칙").otherwise("text").alias("content"))
+    parent = F.when(on(9), "제99조").when(on(11), none).when(on(13), "제2조").otherwise(root)
+    paragraph = F.struct(F.concat(root, F.lit("/항1")).alias("path"), parent.alias("parent_path"), F.lit("text").alias("content"))
+    nodes = F.when(on(7), F.array(article, article, paragraph)).when(on(14), F.array(F.struct(F.concat(root, F.lit("/항1")).alias("path"), F.concat(root, F.lit("/항1")).alias("parent_path"), F.lit("text").alias("content")))).otherwise(F.array(article, paragraph))
+    flat = lines.select("version_id", "k", "n", "effective_from", "mst", "source_id", F.inline(nodes))
+    ident = activation.canonical_id(NAMESPACE, F.col("effective_from"), F.col("mst"), F.col("path"), F.col("source_id"), F.lit("law"))
+    return versions.drop("k"), flat.select("version_id", "path", "parent_path", "content", F.when(on(15), "other").otherwise(ident).alias("provision_id"))
+
+
+_FAULTS = ", ".join(f"'{r}'" for r in activation.RULES)
+
+
+@query("inc_activation_rules", f"""WITH l AS (SELECT l_orderkey, bool_or(l_linenumber = 1) AS first, bool_or(l_linenumber = 2) AS second FROM lineitem GROUP BY 1),
+x AS (SELECT o_orderkey AS version_id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 29 AS k, CASE WHEN k BETWEEN 1 AND 5 THEN [{_FAULTS}][k] WHEN l_orderkey IS NULL OR k = 6 THEN 'no_provisions' WHEN k IN (16, 17) THEN [{_FAULTS}][k]
+  WHEN k BETWEEN 7 AND 15 AND first THEN CASE WHEN k = 13 AND NOT second THEN 'parent_absent' ELSE [{_FAULTS}][k] END END AS problem FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT version_id, problem, CASE WHEN problem IS NULL THEN CASE WHEN k = 20 THEN 'abolished' WHEN day > DATE '1996-06-30' THEN 'scheduled' ELSE 'active' END END AS lifecycle_state,
+  CASE WHEN problem IS NULL THEN CASE WHEN k = 21 THEN 'deleted' ELSE 'available' END END AS record_state, CASE WHEN problem IS NULL THEN k = 22 END AS has_supplementary FROM x""")
 def inc_activation_rules(t):
-    lifecycle = F.when(F.col("o_totalprice") < 5000, "price").when(F.col("o_orderstatus") == "P", "abolished").when(F.to_date("o_orderdate") > F.lit("2001-01-01").cast("date"), "scheduled").otherwise("active")
-    return t.orders.select("o_orderkey", lifecycle.alias("lifecycle"))
+    versions, provisions = _activation_input(t)
+    return activation.activation(versions, provisions, F.lit("1996-06-30").cast("date"), "3", NAMESPACE)
 
 
 @query("stream_tumbling", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
