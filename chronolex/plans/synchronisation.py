@@ -354,14 +354,14 @@ def inc_activation_rules(t):
 
 @query("stream_tumbling", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(t):
-    out = S.run_to_table(S.tumbling(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "complete")
-    return out.select(F.to_date("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    out = S.run_to_table(S.tumbling(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "update")
+    return S.latest(out, ["w", "event_type"]).select(F.to_date("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("stream_sliding", "SELECT day, count(*) AS n FROM (SELECT unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS day FROM events) GROUP BY day")
 def stream_sliding(t):
-    out = S.run_to_table(S.sliding(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "complete")
-    return out.select(F.to_date("w.start").alias("day"), "n")
+    out = S.run_to_table(S.sliding(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "update")
+    return S.latest(out, ["w"]).select(F.to_date("w.start").alias("day"), "n")
 
 
 @query("stream_session", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, min(CAST(ts AS TIMESTAMP)) AS started, count(*) AS n FROM g GROUP BY user_id, s")
