@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import ann_additive, chat_format, decontaminate, mixing, quality_fm, secret_scan, sharding, simhash_dedup, token_align, token_count, toxicity_chain
+from chronolex.llm import ann_additive, chat_format, decontaminate, mixing, ngram_join, quality_fm, secret_scan, sharding, simhash_dedup, spelling, token_align, token_count, toxicity_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.digest(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op5_decontaminate, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash, op11_token_alignment)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_toxicity_chain, op3_chat_format, op4_secrets, op5_decontaminate, op6_mixing, op7_sharding, op8_additive_ann, op9_token_counts, op10_simhash, op11_token_alignment, op12_spelling_variants, op13_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""

@@ -31,7 +31,7 @@ from chronolex.llm.token_count import _byte_letters
 #: From a space to the next space that follows a character that isn't white space.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 #: Bytes of text in one pass, and of segments in one set of interval tables.
-PASS_BYTES, TABLE_BYTES = 1 << 21, 1 << 19
+PASS_BYTES, TABLE_BYTES = 1 << 21, 1 << 18
 #: A worker forgets its segments when it holds more than this many, or more bytes than that.
 SEGMENTS, SEGMENT_BYTES = 300_000, 1 << 24
 #: White space so long is left to the library of the tokenizer file: the faster reader of its ranks overflows its stack on it.
