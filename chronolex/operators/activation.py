@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.functions import hashing as H
+from chronolex.sources import trees
 
 # Fixed values of the source format: keys that mark a record, values that mean yes, article paths and structure signs.
 DELETED_KEY = "삭제여부"
@@ -15,12 +16,12 @@ ABOLISHED_FLAG, ABOLISHED_DATES = "폐지여부", ("폐지일자", "폐지일")
 SUPPLEMENTARY_KEYS = ("부칙", "부칙단위", "부칙내용")
 YES = ("1", "true", "y", "yes", "예", "폐지", "삭제")
 ARTICLE = r"^제[0-9]+조(의[0-9]+)?$"
-STRUCTURE = r"^\s*제\s*[0-9]+\s*(편|장|절|관)"
+STRUCTURE = r"^\s*제\s*[0-9]+\s*(?:장|절)(?:의\s*[0-9]+)?(?:\s|$)"
 
 #: The rules in their order; the first that a version breaks is its problem.
 RULES = (
     "no_title", "no_source_id", "no_mst", "no_effective_from", "parser_version", "no_provisions", "duplicate_path", "empty_content", "parent_absent", "not_an_article", "no_parent_path", "structure_marker",
-    "parent_elsewhere", "article_root_absent", "provision_id", "raw_format", "raw_sha256",
+    "parent_elsewhere", "article_root_absent", "provision_id", "raw_format", "raw_sha256", "unreadable",
 )
 
 
@@ -57,30 +58,17 @@ def provision_faults(versions: DataFrame, provisions: DataFrame, namespace: uuid
     return found.join(copies, "version_id")
 
 
-def markers(body: Column) -> dict[str, Column]:
-    """Whether a raw JSON or XML body marks its record as deleted or abolished, or holds supplementary provisions."""
-    # a scalar member of JSON or an element of XML without children, as key and value
-    pair = lambda key: rf'"[^"]*{key}[^"]*"\s*:\s*"?([^",}}\]]*)|<[^<>/]*{key}[^<>/]*>([^<]*)<'
-    exact = lambda key: rf'"{key}"\s*:\s*"?([^",}}\]]*)|<{key}>([^<]*)<'
-
-    def values(pattern: str) -> Column:
-        both = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("b"))
-        return F.transform(both, lambda v: F.lower(F.trim(F.concat(v["a"], v["b"]))))
-
-    yes = lambda pattern: F.exists(values(pattern), lambda v: v.isin(*YES))
-    dated = [F.exists(values(exact(key)), lambda v: ~v.isin("", "null")) for key in ABOLISHED_DATES]
-    supplementary = body.rlike("|".join(rf'"{k}"\s*:|<{k}[ >]' for k in SUPPLEMENTARY_KEYS))
-    return {"deleted": yes(pair(DELETED_KEY)), "abolished": yes(exact(ABOLISHED_FLAG)) | dated[0] | dated[1], "supplementary": supplementary}
-
-
 def activation(versions: DataFrame, provisions: DataFrame, today: Column, parser: str, namespace: uuid.UUID) -> DataFrame:
     """version_id, problem (the first broken rule, null if none) and what an active version gets.
 
     ``versions`` has version_id, title, source_id, mst, effective_from, parser_version, source_kind, raw_format,
     wire_format, raw_sha256 and body. lifecycle_state, record_state and has_supplementary are null beside a problem.
-    A null in a compared column breaks its rule.
+    A null in a compared column breaks its rule. Marks are read off the parsed body, at any depth; a body that can't be
+    read in its wire format is refused.
     """
-    rows = versions.join(provision_faults(versions, provisions, namespace).withColumn("_held", F.lit(True)), "version_id", "left")
+    tree = trees.nodes(versions, "version_id", "body", "wire_format", whole="삭제여부|폐지")
+    mark = trees.marks(tree, "version_id", YES, DELETED_KEY, ABOLISHED_FLAG, ABOLISHED_DATES, SUPPLEMENTARY_KEYS)
+    rows = versions.join(provision_faults(versions, provisions, namespace).withColumn("_held", F.lit(True)), "version_id", "left").join(mark, "version_id", "left")
     empty = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) == 0
     broken = {
         "no_title": empty("title"), "no_source_id": empty("source_id"), "no_mst": empty("mst"), "no_effective_from": F.col("effective_from").isNull(),
@@ -88,10 +76,9 @@ def activation(versions: DataFrame, provisions: DataFrame, today: Column, parser
         "raw_format": ~F.upper("raw_format").eqNullSafe(F.col("wire_format")), "raw_sha256": ~F.col("raw_sha256").eqNullSafe(F.sha2("body", 256)),
     }
     problem = F.coalesce(*[F.when(broken[name] if name in broken else F.col(name), F.lit(name)) for name in RULES])
-    mark = markers(F.coalesce("body", F.lit("")))
-    state = F.when(mark["abolished"], "abolished").when(F.col("effective_from") > today, "scheduled").otherwise("active")
+    state = F.when(F.col("abolished"), "abolished").when(F.col("effective_from") > today, "scheduled").otherwise("active")
     judged = rows.select(
-        "version_id", problem.alias("problem"), state.alias("lifecycle_state"), F.when(mark["deleted"], "deleted").otherwise("available").alias("record_state"), mark["supplementary"].alias("has_supplementary")
+        "version_id", problem.alias("problem"), state.alias("lifecycle_state"), F.when(F.col("deleted"), "deleted").otherwise("available").alias("record_state"), F.col("supplementary").alias("has_supplementary")
     )
     fine = F.col("problem").isNull()
     return judged.select("version_id", "problem", *[F.when(fine, F.col(c)).alias(c) for c in ("lifecycle_state", "record_state", "has_supplementary")])

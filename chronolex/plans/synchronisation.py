@@ -45,18 +45,18 @@ def _flat(t, xml: bool):
     return parsers.flatten_tree(parsed).select("id", "path", "content")
 
 
-@query("read_law_json", _TREE)
-def read_law_json(t):
+@query("read_compact_json", _TREE)
+def read_compact_json(t):
     return _flat(t, xml=False)
 
 
-@query("read_law_xml", _TREE)
-def read_law_xml(t):
+@query("read_compact_xml", _TREE)
+def read_compact_xml(t):
     return _flat(t, xml=True)
 
 
-@query("tree_flatten_4level", f"SELECT id, count(*) AS n, count(*) AS last FROM ({_TREE}) GROUP BY id")
-def tree_flatten_4level(t):
+@query("compact_tree_sizes", f"SELECT id, count(*) AS n, count(*) AS last FROM ({_TREE}) GROUP BY id")
+def compact_tree_sizes(t):
     parsed = _bodies(t).select("id", parsers.parse_body(F.col("body")).alias("r")).select("id", "r.document")
     return parsers.flatten_tree(parsed).groupBy("id").agg(F.count("*").alias("n"), F.max("ordinal").cast("long").alias("last"))
 
@@ -114,8 +114,8 @@ def sink_bundle(t):
     return bundle.load_bundle(t.spark, path, {"orders": "o_orderkey long, o_orderstatus string"})["orders"]
 
 
-@query("flat_subitem_regroup", "SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS group_no FROM (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events)")
-def flat_subitem_regroup(t):
+@query("regroup_repeated_labels", "SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS group_no FROM (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events)")
+def regroup_repeated_labels(t):
     return parsers.regroup_flat(t.events, ["user_id"], "event_id", "event_type").select("user_id", "event_id", F.col("group_no").cast("long").alias("group_no"))
 
 

@@ -59,16 +59,16 @@ def load_eval_cases(t):
     return t.benchmark.agg(F.count("*").alias("n"), (F.count_distinct("item_id") == F.count("*")).alias("unique_ids"), F.count_if(F.trim("text") == "").alias("blank"))
 
 
-@query("recursive_walk_first", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
-def recursive_walk_first(t):
+@query("first_named_value", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def first_named_value(t):
     """The first value among several names, at the top or one level down."""
     wrapped = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit('{"inner":'), "props", F.lit("}")))
     tried = [F.get_json_object(wrapped, p) for p in ("$.key", "$.k", "$.inner.key", "$.inner.k")]
     return t.events.select("event_id", F.coalesce(*tried).alias("v"))
 
 
-@query("parent_link_xml", f"WITH {PROVISIONS} SELECT c.provision_id, max(p.provision_id) AS parent FROM provisions c LEFT JOIN provisions p ON p.doc_id = c.doc_id AND p.ordinal < c.ordinal AND length(p.content) < 40 GROUP BY c.provision_id")
-def parent_link_xml(t):
+@query("parent_by_short_line", f"WITH {PROVISIONS} SELECT c.provision_id, max(p.provision_id) AS parent FROM provisions c LEFT JOIN provisions p ON p.doc_id = c.doc_id AND p.ordinal < c.ordinal AND length(p.content) < 40 GROUP BY c.provision_id")
+def parent_by_short_line(t):
     """The nearest enclosing node before each node in document order, by one window instead of a self join."""
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return t.provisions.select("provision_id", F.last(F.when(F.length("content") < 40, F.col("provision_id")), ignorenulls=True).over(w).alias("parent"))

@@ -68,3 +68,32 @@ def test_markers_of_both_formats(spark):
     assert (got.lifecycle_state, got.record_state, got.has_supplementary) == ("abolished", "available", True)
     got = judge(spark, '{"폐지여부":"N","폐지일":"","삭제여부":"0"}')
     assert (got.lifecycle_state, got.record_state) == ("active", "available")
+
+
+@pytest.mark.parametrize(
+    ("body", "wire", "state", "record", "supplementary"),
+    [
+        ('{"폐지일자":0}', "JSON", "active", "available", False),
+        ('{"폐지일자":false,"폐지일":null,"x":[{"폐지일":[1]}]}', "JSON", "active", "available", False),
+        ('{"\\ud3d0\\uc9c0\\uc5ec\\ubd80":"Y"}', "JSON", "abolished", "available", False),
+        ('<r><폐지여부 k="1">Y</폐지여부></r>', "XML", "abolished", "available", False),
+        ("<r><부칙/></r>", "XML", "active", "available", True),
+        ("<r><a><b><c:삭제여부 xmlns:c='u'><d>예</d></c:삭제여부></b></a></r>", "XML", "active", "deleted", False),
+        ('{"a":[[{"b":{"폐지여부":true}}]]}', "JSON", "abolished", "available", False),
+        ("<r><폐지일자> <x>2020</x></폐지일자></r>", "XML", "abolished", "available", False),
+    ],
+)
+def test_marks_are_read_off_the_parsed_body(spark, body, wire, state, record, supplementary):
+    got = judge(spark, body, wire=wire)
+    assert (got.problem, got.lifecycle_state, got.record_state, got.has_supplementary) == (None, state, record, supplementary)
+
+
+@pytest.mark.parametrize(("body", "wire"), [("{broken", "JSON"), ("<r>", "XML"), ("{}", "XML"), ("<!DOCTYPE r [<!ENTITY a 'b'>]><r/>", "XML"), ("[" * 100_000, "JSON")])
+def test_unreadable_bodies_are_refused(spark, body, wire):
+    got = judge(spark, body, wire=wire)
+    assert (got.problem, got.lifecycle_state) == ("unreadable", None)
+
+
+def test_structure_signs_end_where_the_rule_says(spark):
+    for content, problem in (("제3절차에 따라 신청한다", None), ("제 3 절", "structure_marker"), ("제3장의2 보칙", "structure_marker"), ("제1편 총칙", None), ("제1관", None)):
+        assert judge(spark, tree=[("제1조", None, content)]).problem == problem
