@@ -39,6 +39,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return keep_in(df, new_path(df.sparkSession, name))
 
 
+def drop(kept: DataFrame) -> None:
+    """Delete the files of a table that ``keep`` returned and that nothing reads any more."""
+    spark = kept.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't use, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"

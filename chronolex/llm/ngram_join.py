@@ -4,11 +4,13 @@ Two sets of that similarity share a number T of shingles that follows from their
 first n - T + 1 shingles of each in any one order of all shingles: only the inverted lists of those have to be
 merged, and the others, the longest ones, are probed. The order puts the most frequent shingles last.
 
-Inverted lists meet in Spark by shingle. In the first round the texts of a list are held against one of them, as only
-connectivity is wanted; in the second one all texts of a list that aren't connected yet are held against each other,
-first by bounds on sizes and on counts of shingles by bin, which lose no link. What stands them is searched for exactly: a
-group is one query text with the inverted lists of its candidates. DivideSkip sets the longest lists aside, merges the
-short ones by a heap, skips what can't reach the rest of T, and probes the long lists for what can.
+Inverted lists meet in Spark by shingle. Texts of a list that stand bounds on their sizes and on their counts of shingles
+by bin, which lose no link, are near; of a list's near texts a spanning forest is passed on, and its trees over all
+lists are clusters. A cluster's whole sets meet in blocks, each set once by pair of blocks, and every near pair in it is
+searched for: a query text over the inverted lists of its candidates. DivideSkip sets the longest lists aside, merges
+the short ones by a heap, skips what can't reach the rest of T, and probes the long lists for what can. A first round
+over a few shingles of each text settles the groups of near copies, the second one goes over all lists that hold texts
+of different clusters.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronolex.llm import textarrays as T
 from chronolex.llm.components import connected, spread_join
-from chronolex.llm.durable import keep
+from chronolex.llm.durable import drop, keep
 from chronolex.llm.shingle_links import _lists, _sign, shingles
 
 WORDS = 4
@@ -37,10 +39,8 @@ FREQUENT = 1 << 15
 FIRST = 3
 #: Bins over which a set's shingles are counted, a power of two.
 BINS = 128
-#: Texts of a list that are held against each other at once; candidates of a query that are searched at once.
-CHUNK, MEMBERS = 2048, 256
-#: Pairs that one numpy pass makes.
-PAIRS = 1 << 16
+#: Texts of a list that are held against each other at once; texts of a cluster that make a block.
+CHUNK, MEMBERS = 2048, 128
 #: Long lists: T / (WEIGHT * log2(longest) + 1) of them.
 WEIGHT = 0.04
 
@@ -82,29 +82,6 @@ def _marks(words: int):
     return each
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, n, row) sorted by them: each text with the first of its list that its size allows, as (a, b)."""
-    key = pivot = size = None
-    for batch in batches:
-        keys, n, rows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        a, b = [], []
-        begin = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
-            if keys[s] != key:
-                key, pivot, size = keys[s], rows[s], n[s]
-                s += 1
-            while s < e:
-                fits = s + int(np.searchsorted(n[s:e], size * DEN // NUM, side="right"))
-                a.append(np.full(fits - s, pivot))
-                b.append(rows[s:fits])
-                if fits < e:
-                    pivot, size = rows[fits], n[fits]
-                s = fits + 1
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
 def near(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether sets of ``n`` and ``m`` shingles with the bins ``x`` and ``y`` may be similar."""
     apart = np.abs(x.astype(np.int16) - y).sum(axis=-1, dtype=np.int64)
@@ -115,54 +92,57 @@ def _unpacked(bins: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _open_pairs(most: int):
-    """Over rows (key, lo, hi, own, n, row, root, bins) sorted by (key, lo, hi, n): pairs (a, b) that may be similar and aren't connected.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, lo, hi, own, n, row, cluster, bins) sorted by (key, lo, hi, n): edges (a, b) of rows, for each list a
+    spanning forest of its near texts, those of one cluster counting as joined.
 
-    A list cut into chunks comes once for each two of them, lo and hi; then only texts of different chunks make pairs.
+    A list cut into chunks comes once for each two of them, lo and hi; then only texts of different chunks are near.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-        def pairs(g, i, j):
-            key, lo, hi, own, n, row, root, bins = g
-            ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & (n[i] * DEN >= n[j] * NUM)
-            i, j = i[ok], j[ok]
-            ok = near(n[i], n[j], bins[i], bins[j])
-            a, b = row[i[ok]], row[j[ok]]
-            return np.column_stack((np.minimum(a, b), np.maximum(a, b)))
-
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [_unpacked(batch.column(7))]
-                held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
-            done = len(held[0]) if batch is None else int(change[-1]) if len(change) else 0
-            g, held = [c[:done] for c in held], [c[done:] for c in held]
-            if not done:
-                continue
-            begin = np.concatenate(([0], change[change < done]))
-            size = np.diff(np.concatenate((begin, [done])))
-            end = np.repeat(begin + size, size)  # rows of a group are sorted by n
-            limit = np.empty(done, np.int64)
-            for s, m in zip(begin.tolist(), size.tolist(), strict=True):
-                limit[s : s + m] = s + np.searchsorted(g[4][s : s + m], g[4][s : s + m] * DEN // NUM, side="right")
-            count = np.maximum(np.minimum(limit, end) - np.arange(done) - 1, 0)
-            total = np.cumsum(count)
-            at = 0
-            while at < done:
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-                own = count[at:to]
-                i = np.repeat(np.arange(at, to), own)
-                j = i + 1 + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-                found = np.unique(pairs(g, i, j), axis=0)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-                at = to
-
-    return each
+    def trees(lo, hi, own, n, row, cluster, bins) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, two = np.arange(len(n)), lo[0] != hi[0]
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                joined = cluster[left] == cluster[x]
+                may = ~joined & (np.minimum(n[left], n[x]) * DEN >= np.maximum(n[left], n[x]) * NUM)
+                if two:
+                    may &= own[left] != own[x]
+                at = np.flatnonzero(may)
+                hit = at[near(n[left[at]], n[x], bins[left[at]], bins[x])]
+                if len(hit):
+                    yield np.full(len(hit), row[x]), row[left[hit]]
+                joined[hit] = True
+                queue.extend(left[joined].tolist())
+                left = left[~joined]
+
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [_unpacked(batch.column(7))]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+        done = len(held[0]) if batch is None else int(change[-1]) if len(change) else 0
+        g, held = [c[:done] for c in held], [c[done:] for c in held]
+        if not done:
+            continue
+        begin = np.concatenate(([0], change[change < done]))
+        size = np.diff(np.concatenate((begin, [done])))
+        two = begin[size == 2]
+        n, row, cluster, bins = g[4], g[5], g[6], g[7]
+        may = (cluster[two] != cluster[two + 1]) & (n[two] * DEN >= n[two + 1] * NUM) & ((g[1][two] == g[2][two]) | (g[3][two] != g[3][two + 1]))
+        two = two[may]
+        two = two[near(n[two], n[two + 1], bins[two], bins[two + 1])]
+        found = [(row[two], row[two + 1])]
+        for s, m in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            found.extend(trees(*[c[s : s + m] for c in g[1:]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def divide_skip(lists: list[list[int]], least: int, aside: int) -> list[tuple[int, int]]:
@@ -218,57 +198,68 @@ def _place(x: list[int], value: int, lo: int) -> int:
     return lo
 
 
-def _searched(most: int):
-    """Over rows (a, chunk, b, set) sorted by the first three, the query first in its group: (a, b) that are similar."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query = asking = None
-        members: list[int] = []
-        held: list[np.ndarray] = []
-
-        def ask() -> list[int]:
-            n = len(query)
-            sizes = np.array([len(x) for x in held], np.int64)
-            flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
-            at = np.minimum(np.searchsorted(query, flat), n - 1)
-            mine = query[at] == flat
-            entry, who = at[mine], owner[mine]
-            if len(held) == 1:
-                return [0] if len(entry) >= least_overlap(n, int(sizes[0])) else []
-            order = np.argsort(entry, kind="stable")
-            entry, who = entry[order], who[order].tolist()
-            begin = np.flatnonzero(np.diff(entry, prepend=-1)).tolist()
-            lists = [who[s:e] for s, e in zip(begin, [*begin[1:], len(who)], strict=True)]
-            if not lists:
-                return []
-            least = int(least_overlap(n, int(sizes.min())))
-            aside = int(least / (WEIGHT * math.log2(max(2, max(map(len, lists)))) + 1))
-            return [k for k, shared in divide_skip(lists, least, aside) if shared >= least_overlap(n, int(sizes[k]))]
-
-        for batch in itertools.chain(batches, [None]):
-            groups = zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True) if batch is not None else [(None, None, None)]
-            sets = batch.column(3) if batch is not None else None
-            flat, ends = (sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy(zero_copy_only=False)) if sets is not None else (None, None)
-            a_out, b_out = [], []
-            for k, (a, chunk, b) in enumerate(groups):
-                if (a, chunk) != asking or len(held) == most:
-                    if held:
-                        found = ask()
-                        a_out.extend([asking[0]] * len(found))
-                        b_out.extend(members[i] for i in found)
-                    members, held = [], []
-                if sets is None:
-                    break
-                own = flat[ends[k] : ends[k + 1]]
-                if a == b:
-                    query, asking = own.copy(), (a, chunk)
-                else:
-                    members.append(b)
-                    held.append(own.copy())
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+def similar(query: np.ndarray, held: list[np.ndarray]) -> list[int]:
+    """Which of ``held`` are similar to ``query``; all are sorted sets."""
+    n, sizes = len(query), np.array([len(x) for x in held], np.int64)
+    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+    at = np.minimum(np.searchsorted(query, flat), n - 1)
+    mine = query[at] == flat
+    entry, who = at[mine], owner[mine]
+    if len(held) == 1:
+        return [0] if len(entry) >= least_overlap(n, int(sizes[0])) else []
+    if not len(entry):
+        return []
+    order = np.argsort(entry, kind="stable")
+    entry, who = entry[order], who[order].tolist()
+    begin = np.flatnonzero(np.diff(entry, prepend=-1)).tolist()
+    lists = [who[s:e] for s, e in zip(begin, [*begin[1:], len(who)], strict=True)]
+    least = int(least_overlap(n, int(sizes.min())))
+    aside = int(least / (WEIGHT * math.log2(max(2, max(map(len, lists)))) + 1))
+    return [k for k, shared in divide_skip(lists, least, aside) if shared >= least_overlap(n, int(sizes[k]))]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (group, lo, hi, own, row, cluster, set) sorted by the first three: links (a, b) of rows that join what is similar.
+
+    Texts of one cluster aren't compared, nor texts that links of this group join already. A group of two blocks compares
+    texts of different ones.
+    """
 
-    return each
+    def links(lo, hi, own, row, cluster, sets) -> Iterator[tuple[int, int]]:
+        m, n = len(sets), np.array([len(x) for x in sets], np.int64)
+        bins = np.frombuffer(b"".join(_bins(np.concatenate(sets).view(np.uint64), np.repeat(np.arange(m), n), m)), np.uint8).reshape(m, BINS)
+        tree = np.arange(m)
+        for q in range(m - 1):
+            rest = np.arange(q + 1, m)
+            may = (tree[rest] != tree[q]) & (cluster[rest] != cluster[q]) & (np.minimum(n[rest], n[q]) * DEN >= np.maximum(n[rest], n[q]) * NUM)
+            if lo != hi:
+                may &= own[rest] != own[q]
+            rest = rest[may]
+            rest = rest[near(n[rest], n[q], bins[rest], bins[q])]
+            if not len(rest):
+                continue
+            for k in similar(sets[q], [sets[i] for i in rest]):
+                i = int(rest[k])
+                yield row[q], row[i]
+                tree[tree == tree[i]] = tree[q]
+
+    asking, rows = None, []
+    for batch in itertools.chain(batches, [None]):
+        columns = [c.to_pylist() for c in batch.columns[:6]] if batch is not None else [[None]] * 6
+        sets = batch.column(6) if batch is not None else None
+        flat, ends = (sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy(zero_copy_only=False)) if sets is not None else (None, None)
+        found: list[tuple[int, int]] = []
+        for k, (group, lo, hi, own, row, cluster) in enumerate(zip(*columns, strict=True)):
+            if (group, lo, hi) != asking or batch is None:
+                if rows:
+                    o, r, c, x = zip(*rows, strict=True)
+                    found.extend(links(asking[1], asking[2], np.array(o), r, np.array(c), list(x)))
+                asking, rows = (group, lo, hi), []
+            if batch is not None:
+                rows.append((own, row, cluster, flat[ends[k] : ends[k + 1]].copy()))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -326,62 +317,70 @@ class Join:
 
         touched = keep(self.short.select("row", F.explode("prefix").alias("key")).join(self.frequent, "key", "left_semi").select("row").distinct(), "touched")
         new = self.texts(touched).mapInArrow(each, "row long, prefix array<long>")
-        old = self.short.join(touched, "row", "left_anti")
-        self.short = keep(old.unionByName(self.short.drop("prefix").join(new, "row")), "short")
-
-    def search(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct ``pairs`` (a, b) of rows, a < b, whose sets are similar: a asks, its b are searched in chunks."""
-        sets = keep(self.whole(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()), "whole")
-        counts = keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("chunks")), "counts")
-        cut = spread_join(pairs, counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("row"))
-        cut = keep(cut, "cut")
-        asking = cut.select("a", "chunk").distinct().withColumn("row", F.col("a"))
-        rows = spread_join(cut.unionByName(asking), sets, "row").select("a", "chunk", F.col("row").alias("b"), "set")
-        return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").mapInArrow(_searched(MEMBERS), "a long, b long")
+        before = self.short
+        self.short = keep(before.join(touched, "row", "left_anti").unionByName(before.drop("prefix").join(new, "row")), "short")
+        drop(before)
+
+    def search(self, near_edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links (a, b) among the clusters that ``near_edges`` (a, b) make, and those clusters as (row, cluster).
+
+        Texts of one of the ``clusters`` of before are settled and not compared again. Clusters come in blocks of about
+        MEMBERS texts, every two blocks as a group, so a set is read once for each block of its cluster.
+        """
+        joined = keep(connected(near_edges), "clusters").select(F.col("node").alias("row"), F.col("root").alias("group"))
+        sizes = keep(joined.groupBy("group").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks")), "sizes")
+        member = spread_join(joined, sizes, "group").join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
+        member = keep(_two_by_two(member, "blocks").select("group", "lo", "hi", "own", "row", "cluster"), "members")
+        sets = keep(self.whole(joined.select("row")), "whole")
+        rows = member.join(sets, "row").select("group", "lo", "hi", "own", "row", "cluster", "set")
+        dealt = rows.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "row")
+        return keep(dealt.mapInArrow(_searched, "a long, b long"), "links"), joined.withColumnRenamed("group", "cluster")
 
     def edges(self) -> DataFrame:
         """Rows (a, b) whose components are those of all similar sets."""
-        first = self.short.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row")
-        stars = first.repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_stars, "a long, b long")
-        pairs = self._may_be(keep(stars.distinct(), "stars"))
-        linked = keep(self.search(pairs), "links")
-        roots = keep(connected(linked), "roots").withColumnRenamed("node", "row")
-        rooted = keep(self.short.select("row", "n", "prefix").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
-        met = keep(self._open(rooted.select(F.explode("prefix").alias("key"), "n", "row", "root")), "open")
-        met = met.withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "row", "root")
-        met = met.join(self.short.select("row", "bins"), "row").select("key", "lo", "hi", "own", "n", "row", "root", "bins")
-        dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
-        left = keep(dealt.mapInArrow(_open_pairs(PAIRS), "a long, b long").distinct(), "left")
+        none = self.docs.sparkSession.createDataFrame([], "row long, cluster long")
+        first = self.short.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.col("row").alias("cluster"))
+        linked, clusters = self.search(self._near(first), none)
+        rows = self.short.select("row", "n", "prefix").join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
+        rows = keep(rows, "clustered")
+        left = self._near(rows.select(F.explode("prefix").alias("key"), "n", "row", "cluster"))
         if left.isEmpty():
             return linked
-        return linked.unionByName(keep(self.search(left), "links"))
+        more, _ = self.search(_with_settled(left, clusters), clusters)
+        return linked.unionByName(more)
+
+    def _near(self, entries: DataFrame) -> DataFrame:
+        """Edges (a, b) that join what is near and not of one cluster in some list of ``entries`` (key, n, row, cluster)."""
+        met = _two_by_two(keep(self._open(entries), "open"), "chunks")
+        met = met.join(self.short.select("row", "bins"), "row").select("key", "lo", "hi", "own", "n", "row", "cluster", "bins")
+        dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
+        return keep(dealt.mapInArrow(_forest, "a long, b long").distinct(), "near")
 
     def _open(self, entries: DataFrame) -> DataFrame:
-        """The ``entries`` (key, n, row, root) of lists that hold texts not connected yet, and in how many chunks to take each list.
+        """The ``entries`` (key, n, row, cluster) of lists that hold texts of several clusters, and in how many chunks to take each list.
 
         Lists of frequent shingles may be of any length: what is open there is found by a grouping and known to every task.
         All others are short and go through one window.
         """
-        which = [F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")]
+        which = [F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("size")]
         hot = entries.join(self.frequent, "key", "left_semi")
         hot = hot.join(F.broadcast(hot.groupBy("key").agg(*which)), "key")
         w = Window.partitionBy("key")
-        rest = entries.join(self.frequent, "key", "left_anti").select("*", F.min("root").over(w).alias("least"), F.max("root").over(w).alias("most"), F.count("*").over(w).alias("size"))
-        return hot.unionByName(rest).where("least <> most").select("key", "n", "row", "root", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        rest = entries.join(self.frequent, "key", "left_anti").select("*", F.min("cluster").over(w).alias("least"), F.max("cluster").over(w).alias("most"), F.count("*").over(w).alias("size"))
+        return hot.unionByName(rest).where("least <> most").select("key", "n", "row", "cluster", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
 
-    def _may_be(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b) of rows those whose bins allow a link."""
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-                ok = pa.array(near(n, m, _unpacked(batch.column(4)), _unpacked(batch.column(5))))
-                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
+def _two_by_two(rows: DataFrame, parts: str) -> DataFrame:
+    """Each row once for every two parts of its group that hold it: own is its part, lo and hi are the two, equal if there is one."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.col(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
 
-        of = lambda *names: self.short.select(*[F.col(c).alias(d) for c, d in zip(("row", "n", "bins"), names, strict=True)])
-        both = spread_join(keep(spread_join(pairs, of("a", "n", "x"), "a"), "half"), of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        return keep(both.mapInArrow(each, "a long, b long"), "near")
+def _with_settled(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``edges`` and, for the ``clusters`` (row, cluster) that they touch, edges that hold each of those together."""
+    touched = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(clusters, "row").select("cluster").distinct()
+    held = clusters.join(touched, "cluster", "left_semi").where("row <> cluster").select(F.col("cluster").alias("a"), F.col("row").alias("b"))
+    return edges.unionByName(held)
 
 
 def _sorted(h: np.ndarray, which: np.ndarray) -> np.ndarray:

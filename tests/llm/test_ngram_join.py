@@ -83,7 +83,6 @@ def test_same_with_frequent_shingles_and_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 20)
     monkeypatch.setattr(ngram_join, "CHUNK", 5)
     monkeypatch.setattr(ngram_join, "MEMBERS", 3)
-    monkeypatch.setattr(ngram_join, "PAIRS", 7)
     same(ngram_join.components(df), rows)
 
 
@@ -91,9 +90,6 @@ def test_frequent_shingles_are_put_last(spark, monkeypatch):
     rows = near_copies(9)
     monkeypatch.setattr(ngram_join, "FREQUENT", 400)
 
-    def plain(_, total):
-        return 0
-
     join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), 4)
     frequent = {r.key for r in join.frequent.collect()}
     for r in join.short.collect():
