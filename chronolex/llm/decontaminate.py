@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.llm import textarrays as T
-from chronolex.llm.durable import keep
+from chronolex.llm.durable import keep, plainly_named
 
 #: Lengths of grams, the longer one where at least LEAST_GRAMS shared grams are asked for.
 Q, Q_SMALL, LEAST_GRAMS = 8, 4, 4
@@ -285,7 +285,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = EDITS,
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with the columns of ``docs``."""
-    text = docs.columns.index("text")
+    text, names = docs.columns.index("text"), docs.columns
+    docs = plainly_named(docs)
     for part, only in slices(benchmark, share, slice_bytes):
 
         def each(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
@@ -298,4 +299,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, slice_byt
         docs = docs.mapInArrow(each, docs.schema)
         if not only:
             docs = keep(docs, "clean")
-    return docs
+    return docs.toDF(*names)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -47,6 +49,17 @@ def drop(kept: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_of(docs: DataFrame, columns: Sequence[str], seed: int) -> Column:
+    """A hash of all ``columns``; maps, which have no hash, go by their JSON text."""
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(F.lit(seed), *plain)
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on: functions over Arrow batches can't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't use, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"

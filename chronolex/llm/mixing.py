@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.durable import free_name, keep
+from chronolex.llm.durable import free_name, hash_of, keep
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -25,8 +25,6 @@ BUCKET_DOCS = 256
 #: Most hash buckets of a source. A source of more than MOST_BUCKETS * BUCKET_DOCS (some 2.7e8) documents has larger ones, and
 #: the one that is gone through in order grows with it: 10,000 documents for a source of 1e10.
 MOST_BUCKETS = 1 << 20
-#: Sources up to this number are broadcast (some 100 bytes each), beyond it they are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,18 +57,21 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     return found.select("source", "source_size", "weight", F.coalesce(F.least(first * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def _join_sources(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    """``rows`` and the columns of ``table``, which has one row of each ``_source``; null sources match."""
-    return rows.join(F.broadcast(table) if small else table, F.col("_src").eqNullSafe(F.col("_source"))).drop("_source")
+def _join_sources(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` and the columns of the written ``table``, which has one row of each ``_source``; null sources match.
+
+    Spark broadcasts the table if its written size allows it.
+    """
+    return rows.join(table, F.col("_src").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def _measured(docs: DataFrame, seed: int) -> list[Column]:
     return [F.col("source").alias("_src"), F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("_hash")]
 
 
-def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: int, share: float, bucket_docs: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: int, share: float, bucket_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The narrow table (doc_id, _src, _hash, _size), one plan row of each source, and who gets one more in the bucket
-    where a source's need runs out, and whether sources are few enough to broadcast."""
+    where a source's need runs out."""
     rows = keep(docs.select("doc_id", *_measured(docs, seed), word_count().alias("_size")), "sizes")
     totals = rows.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")).withColumnRenamed("_src", "source")
     aims = targets(totals.select("source", "source_size"), weights, epochs, share)
@@ -84,9 +85,8 @@ def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: in
         ),
         "aims",
     )
-    small = aims.count() <= BROADCAST_SOURCES
     bucket = F.pmod(F.col("_hash"), F.col("_buckets"))
-    sums = _join_sources(rows, aims, small).groupBy("_src", bucket.alias("_bucket")).agg(F.sum("_size").alias("words"), F.first("_need").alias("_need"))
+    sums = _join_sources(rows, aims).groupBy("_src", bucket.alias("_bucket")).agg(F.sum("_size").alias("words"), F.first("_need").alias("_need"))
     up_to = F.sum("words").over(Window.partitionBy("_src").orderBy("_bucket"))
     spans = sums.withColumn("up_to", up_to).withColumn("before", F.col("up_to") - F.col("words"))
     edge = spans.groupBy(F.col("_src").alias("_s")).agg(
@@ -97,7 +97,7 @@ def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: in
         "_source", "source_size", "target", "_whole", "_buckets", "_full_to", F.coalesce("e._bucket", F.lit(-1)).alias("_edge"), F.col("e.col2").alias("_room")
     )
     plan = keep(plan, "plan")
-    some = _join_sources(rows, plan, small).where(bucket == F.col("_edge")).where("_size > 0")
+    some = _join_sources(rows, plan).where(bucket == F.col("_edge")).where("_size > 0")
     # repeated rows are one entry with a number, so an entry list is as long as a bucket has different rows
     some = some.groupBy("_src", "_room", "_hash", "doc_id", "_size").count().groupBy("_src", "_room")
     some = some.agg(F.array_sort(F.collect_list(F.struct("_hash", "doc_id", "_size", "count"))).alias("rows"))
@@ -109,16 +109,19 @@ def decisions(docs: DataFrame, weights: Sequence[float], epochs: float, seed: in
     start = F.struct(F.col("_room").alias("room"), F.array().cast("array<bigint>").alias("got"))
     got = some.select("_src", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["got"].alias("k"))).alias("g"))
     got = got.select(F.col("_src").alias("_s"), F.col("g.rows._hash").alias("_h"), F.col("g.rows.doc_id").alias("_d"), F.col("g.k").alias("_k"))
-    return rows, plan, keep(got, "extras"), small
+    return rows, plan, keep(got, "extras")
 
 
-def _times(rows: DataFrame, plan: DataFrame, got: DataFrame, small: bool) -> DataFrame:
-    """``rows`` (with doc_id, _src, _hash, _size) and how often each is taken, as _times."""
-    placed = _join_sources(rows, plan, small).withColumn("_bucket", F.pmod(F.col("_hash"), F.col("_buckets")))
+def _times(rows: DataFrame, plan: DataFrame, got: DataFrame, told_by: Sequence[str], seed: int) -> DataFrame:
+    """``rows`` (with doc_id, _src, _hash, _size) and how often each is taken, as _times.
+
+    Which of several rows equal in id, text and source are taken once more is settled by two hashes of the columns ``told_by``.
+    """
+    placed = _join_sources(rows, plan).withColumn("_bucket", F.pmod(F.col("_hash"), F.col("_buckets")))
     at_edge = (F.col("_bucket") == F.col("_edge")) & (F.col("_size") > 0)
     one = (F.col("_bucket") <= F.col("_full_to")) & (F.col("_size") > 0)
     rest = placed.where(~at_edge).withColumn("_times", F.col("_whole") + one.cast("int"))
-    same = Window.partitionBy("_src", "_hash", "doc_id").orderBy(F.lit(0))
+    same = Window.partitionBy("_src", "_hash", "doc_id").orderBy(hash_of(rows, told_by, seed), hash_of(rows, told_by, seed + 1))
     # Spark broadcasts the written table of the edge buckets only if its size allows it
     edge = placed.where(at_edge).join(
         got, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
@@ -134,8 +137,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = E
     without words are taken floor(r) times and never once more. Repeated rows count each. No row is taken more than
     ``epochs`` times. Other columns are ignored. An empty table gives an empty result.
     """
-    rows, plan, got, small = decisions(docs, weights, epochs, seed, share, bucket_docs)
-    done = _times(rows, plan, got, small)
+    rows, plan, got = decisions(docs, weights, epochs, seed, share, bucket_docs)
+    done = _times(rows, plan, got, ["doc_id"], seed)
     return done.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).cast("long").alias("taken"), F.col("_times").alias("times"))
 
 
@@ -148,8 +151,8 @@ def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     for c in own:
         if c.lower() in _ADDED:
             docs = docs.withColumnRenamed(c, free_name(docs, f"own_{c}"))
-    _, plan, got, small = decisions(docs, weights, epochs, seed, share, bucket_docs)
-    done = _times(docs.select("*", *_measured(docs, seed), word_count().alias("_size")), plan, got, small)
+    _, plan, got = decisions(docs, weights, epochs, seed, share, bucket_docs)
+    done = _times(docs.select("*", *_measured(docs, seed), word_count().alias("_size")), plan, got, docs.columns, seed)
     names = [F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, own, strict=True)]
     return done.where("_times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*names)
 

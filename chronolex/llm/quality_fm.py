@@ -129,6 +129,7 @@ def train(words: np.ndarray, figures: np.ndarray, label: np.ndarray, factors: in
 def _figures(batch: pa.RecordBatch, text: int, chars: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = T.flat(batch.column(text))
     n_chars = batch.column(chars).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+    n_chars = np.nan_to_num(n_chars, nan=0.0, posinf=0.0, neginf=0.0)
     for lo, hi in T.passes(offsets, rows=PASS_ROWS):
         own = offsets[lo : hi + 1]
         yield lo, hi, *structure(data[own[0] : own[-1]], own - own[0], n_chars[lo:hi])
@@ -151,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *lists], names=["doc_id", "label", "words", "figures"])
 
     train_labels = labels.where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = sample(_with_metadata(docs), train_labels, "quality", most, seed, "label").mapInArrow(each, "doc_id long, label int, words array<int>, figures array<double>")
+    some = sample(_with_metadata(docs), train_labels, "quality", most, seed, "label")
+    rows = some.mapInArrow(each, T.schema_of(some, "doc_id", label="int", words="array<int>", figures="array<double>"))
     rows = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "figures").limit(most).toPandas()
     words = np.zeros((len(rows), BUCKETS), np.int8)
     for i, w in enumerate(rows["words"]):
@@ -163,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text, n_chars if there is one).
 
-    Null text counts as empty and has a score like any other. A null id isn't held out. Repeated rows are each
-    returned; other columns are ignored; an empty table gives an empty result.
+    Null text counts as empty and has a score like any other. A recorded length that is null, not a number or infinite
+    counts as 0. Ids may have any type and keep it; a null id isn't held out. Repeated rows are each returned; other columns are ignored; an empty table gives an empty result.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,12 +29,14 @@ ALPHABET = string.ascii_letters + string.digits + "+/_-"
 WINDOW = 20
 #: Least entropy in bits of some window, by class: hexadecimal, alphanumeric, base64. At most log2(WINDOW) = 4.32.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-#: Candidates that are left alone: hyphenated UUIDs, dates and ISO times, paths and words joined by one sign.
+#: Candidates that are left alone: hyphenated UUIDs, dates and ISO times; by ``joined`` also paths and words joined by one sign.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"\d{4}-\d{2}-\d{2}(?:[T_-]\d{2}-?\d{2}(?:-?\d{2}(?:-?\d{1,9})?)?Z?)?",
-    r"/?(?:[A-Za-z]{2,}|\d{1,8})(?:[/_-](?:[A-Za-z]{2,}|\d{1,8}))+/?",
 )
+#: What paths and words joined by one sign are made of. They are cut at their signs: a pattern that repeats a group would
+#: take Java's matcher a stack frame for each repetition.
+JOINT, PART = "[/_-]", r"^(?:[A-Za-z]{2,}|\d{1,8})$"
 
 
 _SPANS = "array<struct<start:int,end:int,hit:string>>"
@@ -111,13 +113,19 @@ def top_entropy(word: Column, window: int = WINDOW) -> Column:
     return F.aggregate(moves, start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
 
+def joined(word: Column) -> Column:
+    """Whether ``word`` is two or more PARTs with one JOINT between each two, a slash before and behind them allowed."""
+    parts = F.split(F.regexp_replace(word, "^/|/$", ""), JOINT, -1)
+    return (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(PART))
+
+
 def _suspicious(word: Column, thresholds: dict[str, float], allowed: Sequence[str], window: int) -> Column:
     bare = F.rtrim(word, F.lit("="))
     least = (
         F.when(bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), thresholds["hex"]).when(bare.rlike("^[A-Za-z0-9]+$"), thresholds["alnum"]).otherwise(thresholds["base64"])
     )
     mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
-    known = F.lit(False)
+    known = joined(bare)
     for pattern in allowed:
         known = known | bare.rlike(f"^(?:{pattern})$")
     return mixed & ~known & (top_entropy(bare, window) >= least)

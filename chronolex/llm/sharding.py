@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.durable import free_name, keep
+from chronolex.llm.durable import free_name, hash_of, keep
 
 SHARDS = 40
 SEED = 7
@@ -33,12 +33,6 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), takes))
 
 
-def _hashed(docs: DataFrame, columns: Sequence[str], seed: int) -> Column:
-    """A hash of all ``columns``; maps, which have no hash, go by their JSON text."""
-    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in columns]
-    return F.xxhash64(F.lit(seed), *plain)
-
-
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, payload: bool = True) -> DataFrame:
     """``docs`` with size, text_crc32, shard, slot and grown_shard, in shuffled order of slots inside each shard.
 
@@ -64,8 +58,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         shard_of(F.col("doc_id"), shards, seed).cast("int").alias("shard"),
         shard_of(F.col("doc_id"), shards + 1, seed).cast("int").alias("grown_shard"),
-        _hashed(docs, told_by, seed).alias(one),
-        _hashed(docs, told_by, seed + 1).alias(two),
+        hash_of(docs, told_by, seed).alias(one),
+        hash_of(docs, told_by, seed + 1).alias(two),
         ((size if payload else F.lit(0).cast("long")) + 100).alias(weight),
     )
     number = dict.fromkeys(range(shards), 1)  # of buckets by shard

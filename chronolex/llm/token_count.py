@@ -171,9 +171,12 @@ class Bpe:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = list({w for words, _ in split for w in words} - self.seen.keys())
+        long = {}  # pre-tokens of more than LONG characters are few and may be large: they aren't remembered
         if new:
-            self.seen.update(zip(new, self.counts(new).tolist(), strict=True))
-        get = self.seen.__getitem__
+            made = dict(zip(new, self.counts(new).tolist(), strict=True))
+            long = {w: made.pop(w) for w in new if len(w) > LONG}
+            self.seen.update(made)
+        get = self.seen.__getitem__ if not long else lambda w: long[w] if w in long else self.seen[w]
         return [sum(map(get, words)) + n for words, n in split]
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronolex.llm import textarrays as T
-from chronolex.llm.durable import free_name, keep
+from chronolex.llm.durable import keep, plainly_named
 from chronolex.llm.labelled import sample
 
 CATEGORIES = ("insult", "coded", "toxic")
@@ -231,9 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
     return train(Chain(hashes[columns[-1]]), x, np.column_stack([whole, begun, toxic]).astype(np.float32), fold, folds, columns)
 
 
-def with_probabilities(docs: DataFrame, chain: Chain, names: Sequence[str]) -> DataFrame:
-    """``docs`` and a column of each category's probability; null text counts as empty."""
-    text = docs.columns.index("text")
+def with_probabilities(docs: DataFrame, chain: Chain, names: Sequence[str], column: str = "text") -> DataFrame:
+    """``docs`` and a column of each category's probability of the text in ``column``; null counts as empty."""
+    text = docs.columns.index(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, with the columns of ``docs``."""
-    names = [free_name(docs, f"p_{c}") for c in CATEGORIES]
-    out = with_probabilities(docs, fit(docs, labels), names)
-    return out.where(F.col(names[-1]) <= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"p_{c}" for c in CATEGORIES]
+    plain = plainly_named(docs)
+    out = with_probabilities(plain, fit(docs, labels), names, plain.columns[docs.columns.index("text")])
+    return out.where(F.col(names[-1]) <= threshold).select(*plain.columns).toDF(*docs.columns)
