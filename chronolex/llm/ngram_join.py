@@ -37,10 +37,12 @@ NUM, DEN = 85, 100
 FREQUENT = 1 << 15
 #: Entries of a set's prefix by which texts meet in the first round.
 FIRST = 3
-#: Bins over which a set's shingles are counted, a power of two.
-BINS = 128
-#: Texts of a list that are held against each other at once; texts of a cluster that make a block.
-CHUNK, MEMBERS = 2048, 128
+#: Texts of a list that are held against each other at once; texts, and shingles in them, that make a block of a cluster.
+CHUNK, MEMBERS, SHINGLES = 2048, 1024, 1 << 21
+#: Lists of up to so many texts give all their near pairs, not a forest of them.
+SMALL = 16
+#: Cells of bins that one numpy pass compares.
+CELLS = 1 << 21
 #: Long lists: T / (WEIGHT * log2(longest) + 1) of them.
 WEIGHT = 0.04
 
@@ -62,10 +64,42 @@ def _prefixes(h: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
     return h[at], size
 
 
-def _bins(h: np.ndarray, which: np.ndarray, texts: int) -> list[bytes]:
-    """Shingles of each text by bin, at most 255 each: what two sets' bins differ by is at most what the sets differ by."""
-    counts = np.bincount(which * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=texts * BINS)
-    return [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8).reshape(texts, BINS)]
+def _bins(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Shingles of each text by bin, a power of two of at least n / 2 bins each; what two sets' bins differ by is at most
+    what the sets differ by. A text with more than 255 shingles in a bin has no bins and stands every bound."""
+    bits = np.maximum(5, np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    start = np.concatenate(([0], np.cumsum(1 << bits)))
+    which = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(start[which] + (h >> (64 - bits[which]).astype(np.uint64)).astype(np.int64), minlength=int(start[-1]))
+    most = np.maximum.reduceat(counts, start[:-1]) if len(n) else counts
+    flat = np.minimum(counts, 255).astype(np.uint8)
+    return [flat[start[k] : start[k + 1]].tobytes() if most[k] <= 255 else b"" for k in range(len(n))]
+
+
+class Bins:
+    """The bins of several texts, each with a number of its own; of two numbers the larger is folded to the smaller."""
+
+    def __init__(self, bins: list[bytes]):
+        self.width = np.fromiter(map(len, bins), np.int64, len(bins))
+        self.start, self.flat = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(bins), np.uint8)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """What the bins of texts ``i`` and ``j`` differ by, pair by pair; nothing if one has none."""
+        out, both = np.zeros(len(i), np.int64), self.width[i] * (1 << 32) + self.width[j]
+        for pair in np.unique(both).tolist():
+            v, w = pair >> 32, pair & 0xFFFFFFFF
+            if not v or not w:
+                continue
+            at, least = np.flatnonzero(both == pair), min(v, w)
+            for lo in range(0, len(at), max(1, CELLS // max(v, w))):
+                part = at[lo : lo + max(1, CELLS // max(v, w))]
+                x, y = (self.flat[self.start[k[part]][:, None] + np.arange(m)].reshape(len(part), least, m // least).sum(axis=2, dtype=np.int32) for k, m in ((i, v), (j, w)))
+                out[part] = np.abs(x - y).sum(axis=1)
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether sets ``i`` and ``j``, of ``n`` shingles by text, may be similar."""
+        return self.apart(i, j) * (NUM + DEN) <= (n[i] + n[j]) * (DEN - NUM)
 
 
 def _marks(words: int):
@@ -76,30 +110,20 @@ def _marks(words: int):
                 n = np.bincount(which, minlength=hi - lo)
                 prefix, size = _prefixes(h, n, none)
                 own = batch.slice(lo, hi - lo)
-                columns = [own.column(0), own.column(2), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), pa.array(_bins(h, which, hi - lo), pa.binary()), _lists(prefix, size)]
+                columns = [own.column(0), own.column(2), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), pa.array(_bins(h, n), pa.binary()), _lists(prefix, size)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "sig", "n", "bins", "prefix"])
 
     return each
 
 
-def near(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` shingles with the bins ``x`` and ``y`` may be similar."""
-    apart = np.abs(x.astype(np.int16) - y).sum(axis=-1, dtype=np.int64)
-    return apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
-
-
-def _unpacked(bins: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, BINS)
-
-
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (key, lo, hi, own, n, row, cluster, bins) sorted by (key, lo, hi, n): edges (a, b) of rows, for each list a
-    spanning forest of its near texts, those of one cluster counting as joined.
+    spanning forest of its near texts, those of one cluster counting as joined. Short lists give all near pairs.
 
     A list cut into chunks comes once for each two of them, lo and hi; then only texts of different chunks are near.
     """
 
-    def trees(lo, hi, own, n, row, cluster, bins) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def trees(lo, hi, own, n, row, cluster, bins, base) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left, two = np.arange(len(n)), lo[0] != hi[0]
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
@@ -110,35 +134,44 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if two:
                     may &= own[left] != own[x]
                 at = np.flatnonzero(may)
-                hit = at[near(n[left[at]], n[x], bins[left[at]], bins[x])]
+                hit = at[bins.apart(base + left[at], np.full(len(at), base + x)) * (NUM + DEN) <= (n[left[at]] + n[x]) * (DEN - NUM)]
                 if len(hit):
                     yield np.full(len(hit), row[x]), row[left[hit]]
                 joined[hit] = True
                 queue.extend(left[joined].tolist())
                 left = left[~joined]
 
-    held = None
+    held, held_bins = None, []
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]] + [_unpacked(batch.column(7))]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
             held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            held_bins.extend(batch.column(7).to_pylist())
         if held is None or not len(held[0]):
             continue
         change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
         done = len(held[0]) if batch is None else int(change[-1]) if len(change) else 0
-        g, held = [c[:done] for c in held], [c[done:] for c in held]
         if not done:
             continue
+        g, held = [c[:done] for c in held], [c[done:] for c in held]
+        bins, held_bins = Bins(held_bins[:done]), held_bins[done:]
         begin = np.concatenate(([0], change[change < done]))
         size = np.diff(np.concatenate((begin, [done])))
-        two = begin[size == 2]
-        n, row, cluster, bins = g[4], g[5], g[6], g[7]
-        may = (cluster[two] != cluster[two + 1]) & (n[two] * DEN >= n[two + 1] * NUM) & ((g[1][two] == g[2][two]) | (g[3][two] != g[3][two + 1]))
-        two = two[may]
-        two = two[near(n[two], n[two + 1], bins[two], bins[two + 1])]
-        found = [(row[two], row[two + 1])]
-        for s, m in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            found.extend(trees(*[c[s : s + m] for c in g[1:]]))
+        n, row, cluster = g[4], g[5], g[6]
+        found = [(row[:0], row[:0])]
+        end = np.repeat(begin + size, size)
+        end[np.repeat(size > SMALL, size)] = 0
+        for k in range(1, SMALL):  # short lists: every pair, offset by offset over all of them
+            i = np.flatnonzero(end > np.arange(done) + k)
+            if not len(i):
+                break
+            j = i + k
+            may = (cluster[i] != cluster[j]) & (n[i] * DEN >= n[j] * NUM) & ((g[1][i] == g[2][i]) | (g[3][i] != g[3][j]))
+            i, j = i[may], j[may]
+            hit = bins.near(i, j, n)
+            found.append((row[i[hit]], row[j[hit]]))
+        for s, m in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            found.extend(trees(*[c[s : s + m] for c in g[1:]], bins, s))
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
         if len(pairs):
@@ -227,7 +260,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(lo, hi, own, row, cluster, sets) -> Iterator[tuple[int, int]]:
         m, n = len(sets), np.array([len(x) for x in sets], np.int64)
-        bins = np.frombuffer(b"".join(_bins(np.concatenate(sets).view(np.uint64), np.repeat(np.arange(m), n), m)), np.uint8).reshape(m, BINS)
+        bins = Bins(_bins(np.concatenate(sets).view(np.uint64), n))
         tree = np.arange(m)
         for q in range(m - 1):
             rest = np.arange(q + 1, m)
@@ -235,7 +268,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lo != hi:
                 may &= own[rest] != own[q]
             rest = rest[may]
-            rest = rest[near(n[rest], n[q], bins[rest], bins[q])]
+            rest = rest[bins.near(rest, np.full(len(rest), q), n)]
             if not len(rest):
                 continue
             for k in similar(sets[q], [sets[i] for i in rest]):
@@ -325,10 +358,11 @@ class Join:
         """The links (a, b) among the clusters that ``near_edges`` (a, b) make, and those clusters as (row, cluster).
 
         Texts of one of the ``clusters`` of before are settled and not compared again. Clusters come in blocks of about
-        MEMBERS texts, every two blocks as a group, so a set is read once for each block of its cluster.
+        MEMBERS texts or SHINGLES shingles, every two blocks as a group, so a set is read once for each block of its cluster.
         """
         joined = keep(connected(near_edges), "clusters").select(F.col("node").alias("row"), F.col("root").alias("group"))
-        sizes = keep(joined.groupBy("group").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks")), "sizes")
+        blocks = F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int")
+        sizes = keep(joined.join(self.short.select("row", "n"), "row").groupBy("group").agg(blocks.alias("blocks")), "sizes")
         member = spread_join(joined, sizes, "group").join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
         member = keep(_two_by_two(member, "blocks").select("group", "lo", "hi", "own", "row", "cluster"), "members")
         sets = keep(self.whole(joined.select("row")), "whole")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from helpers import HARD, hard, real
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +112,16 @@ def test_registered_query(spark, sf_dir):
     same(registry.op13_ngram_join(spark, sf_dir), rows)
 
 
+def test_bins_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)) for n in (1, 2, 5, 40, 300, 301, 2500, 6000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 4 // 5], rng.integers(0, 1 << 63, len(s) // 9 + 1, np.uint64)))) for s in sets] + [np.arange(300, dtype=np.uint64)]
+    bins = ngram_join.Bins(ngram_join._bins(np.concatenate(sets), np.array(list(map(len, sets)))))
+    i, j = np.triu_indices(len(sets), 1)
+    assert bins.width[-1] == 0  # 300 shingles in one bin: no bound
+    assert (bins.apart(i, j) <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), unique=True).map(sorted), min_size=1, max_size=9), st.integers(1, 6), st.integers(0, 6))
 def test_divide_skip_counts_all(lists, least, aside):
