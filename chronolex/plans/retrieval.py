@@ -286,16 +286,16 @@ def derive_action(t):
     return statuses.select("conv_id", action.alias("action"))
 
 
-@query("evidence_terms_present", "SELECT b.item_id, contains(regexp_replace(lower(d.text), '\\s', '', 'g'), regexp_replace(lower(left(b.text, 12)), '\\s', '', 'g')) AS present FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3")
-def evidence_terms_present(t):
+@query("evidence_prefix_present", "SELECT b.item_id, contains(regexp_replace(lower(d.text), '\\s', '', 'g'), regexp_replace(lower(left(b.text, 12)), '\\s', '', 'g')) AS present FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3")
+def evidence_prefix_present(t):
     bare = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
     docs = t.documents.select("doc_id", bare(F.col("text")).alias("d"))
     return t.benchmark.join(docs, F.col("doc_id") == F.col("item_id") * 3).select("item_id", F.contains("d", bare(F.substring("text", 1, 12))).alias("present"))
 
 
-@query("grounding_text_match", r"""SELECT b.item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{2,}')), list_distinct(regexp_extract_all(lower(d.text), '[a-z]{2,}')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{2,}'))), 9) AS overlap
+@query("grounding_word_overlap", r"""SELECT b.item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{2,}')), list_distinct(regexp_extract_all(lower(d.text), '[a-z]{2,}')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{2,}'))), 9) AS overlap
 FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 4 WHERE len(regexp_extract_all(lower(b.text), '[a-z]{2,}')) > 0""")
-def grounding_text_match(t):
+def grounding_word_overlap(t):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}"), F.lit(0)))
     docs = t.documents.select("doc_id", words("text").alias("d"))
     rows = t.benchmark.select("item_id", words("text").alias("b")).where(F.size("b") > 0).join(docs, F.col("doc_id") == F.col("item_id") * 4)

@@ -110,8 +110,8 @@ def generation_profile_sha(t):
     return t.nation.select("n_nationkey", F.sha2(F.array_join(parts, ";"), 256).alias("h"))
 
 
-@query("parse_provision_refs", "SELECT o_orderkey, '제' || (o_orderkey % 40 + 1) || '조의2/항3,제' || (o_orderkey % 40 + 1) || '조의2/항5' AS paths FROM orders")
-def parse_provision_refs(t):
+@query("provision_ref_lists", "SELECT o_orderkey, '제' || (o_orderkey % 40 + 1) || '조의2/항3,제' || (o_orderkey % 40 + 1) || '조의2/항5' AS paths FROM orders")
+def provision_ref_lists(t):
     asked = F.concat(F.lit("법 제 "), F.col("o_orderkey") % 40 + 1, F.lit(" 조의 2 제삼항 및 제5항은?"))
     plain = t.orders.select("o_orderkey", R.with_arabic_numbers(asked).alias("q"))
     found = plain.select("o_orderkey", R.references(F.col("q")).alias("r"))
