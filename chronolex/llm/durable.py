@@ -41,14 +41,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return keep_in(df, new_path(df.sparkSession, name))
 
 
-def drop(kept: DataFrame) -> None:
-    """Delete the files of a table that ``keep`` returned and that nothing reads any more."""
-    spark = kept.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def hash_of(docs: DataFrame, columns: Sequence[str], seed: int) -> Column:
     """A hash of all ``columns``; maps, which have no hash, go by their JSON text."""
     plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in columns]

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm import textarrays as T
 from chronolex.llm.components import connected, spread_join
-from chronolex.llm.durable import drop, keep
+from chronolex.llm.durable import keep
 from chronolex.llm.shingle_links import _lists, _sign, shingles
 
 WORDS = 4
@@ -39,8 +40,14 @@ FREQUENT = 1 << 15
 FIRST = 3
 #: Texts of a list that are held against each other at once; texts, and shingles in them, that make a block of a cluster.
 CHUNK, MEMBERS, SHINGLES = 2048, 1024, 1 << 21
+#: Prefix entries that a task counts at once.
+ENTRIES = 1 << 22
 #: Lists of up to so many texts give all their near pairs, not a forest of them.
 SMALL = 16
+#: Shingles by bin, at least: where texts meet in lists, and where whole sets meet in blocks.
+LIST_SHARE, BLOCK_SHARE = 16, 2
+#: Groups of text hashes by which texts are sorted out before they are joined by their ids: a bound on what is broadcast.
+GROUPS = 1 << 18
 #: Cells of bins that one numpy pass compares.
 CELLS = 1 << 21
 #: Long lists: T / (WEIGHT * log2(longest) + 1) of them.
@@ -52,22 +59,31 @@ def least_overlap(n, m):
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
-def _prefixes(h: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(0.85 n) + 1 of each text's sorted hashes, those in the sorted array ``last`` behind the others."""
-    size = np.where(n > 0, n - -(-NUM * n // DEN) + 1, 0)
-    which = np.repeat(np.arange(len(n)), n)
-    if len(last) and len(h):
-        at = np.minimum(np.searchsorted(last, h), len(last) - 1)
-        h = h[np.lexsort((h, last[at] == h, which))]
+def prefix_size(n):
+    """Entries of which similar sets share one: n - ceil(0.85 n) + 1."""
+    return np.where(n > 0, n - -(-NUM * n // DEN) + 1, 0)
+
+
+def _heads(h: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first ``size`` of each list's ``n`` entries in ``h``."""
     start = np.cumsum(n) - n
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return h[at], size
+    return h[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-def _bins(h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Shingles of each text by bin, a power of two of at least n / 2 bins each; what two sets' bins differ by is at most
+def _frequent_behind(h: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists with the entries of the sorted array ``last`` behind the others, and how many others each has."""
+    which = np.repeat(np.arange(len(n)), n)
+    if not len(last) or not len(h):
+        return h, n
+    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
+    frequent = last[at] == h
+    return h[np.lexsort((h, frequent, which))], n - np.bincount(which, weights=frequent, minlength=len(n)).astype(np.int64)
+
+
+def _bins(h: np.ndarray, n: np.ndarray, share: int) -> list[bytes]:
+    """Shingles of each text by bin, a power of two of at least n / ``share`` bins each; what two sets' bins differ by is at most
     what the sets differ by. A text with more than 255 shingles in a bin has no bins and stands every bound."""
-    bits = np.maximum(5, np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / share)).astype(np.int64))
     start = np.concatenate(([0], np.cumsum(1 << bits)))
     which = np.repeat(np.arange(len(n)), n)
     counts = np.bincount(start[which] + (h >> (64 - bits[which]).astype(np.uint64)).astype(np.int64), minlength=int(start[-1]))
@@ -104,13 +120,13 @@ class Bins:
 
 def _marks(words: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             for lo, hi, h, which in shingles(batch.column(1), words):
                 n = np.bincount(which, minlength=hi - lo)
-                prefix, size = _prefixes(h, n, none)
+                size = prefix_size(n)
+                size = np.minimum(n, size + size // 2)  # some more, in case frequent ones have to go behind
                 own = batch.slice(lo, hi - lo)
-                columns = [own.column(0), own.column(2), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), pa.array(_bins(h, n), pa.binary()), _lists(prefix, size)]
+                columns = [own.column(0), own.column(2), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), pa.array(_bins(h, n, LIST_SHARE), pa.binary()), _lists(_heads(h, n, size), size)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "sig", "n", "bins", "prefix"])
 
     return each
@@ -260,7 +276,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(lo, hi, own, row, cluster, sets) -> Iterator[tuple[int, int]]:
         m, n = len(sets), np.array([len(x) for x in sets], np.int64)
-        bins = Bins(_bins(np.concatenate(sets).view(np.uint64), n))
+        bins = Bins(_bins(np.concatenate(sets).view(np.uint64), n, BLOCK_SHARE))
         tree = np.arange(m)
         for q in range(m - 1):
             rest = np.arange(q + 1, m)
@@ -313,9 +329,11 @@ class Join:
 
     def texts(self, rows: DataFrame) -> DataFrame:
         """(row, text) of the given ``rows`` (row); one text of those equal in doc_id and hash."""
-        own = keep(self.marks.join(rows, "row", "left_semi").select("row", F.col("doc_id").alias("own"), F.col("hash").alias("mark")), "own")
+        own = keep(self.marks.select("row", "doc_id", "hash").join(rows, "row", "left_semi").select("row", F.col("doc_id").alias("own"), F.col("hash").alias("mark")), "own")
         same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("mark"))
-        return self.docs.join(own, same).select("row", "text").dropDuplicates(["row"])
+        group = F.pmod("hash", F.lit(GROUPS))
+        groups = F.broadcast(own.select(F.pmod("mark", F.lit(GROUPS)).alias("group")).distinct())
+        return self.docs.join(groups, group == F.col("group"), "left_semi").join(own, same).select("row", "text").dropDuplicates(["row"])
 
     def whole(self, rows: DataFrame) -> DataFrame:
         """(row, set) of the given ``rows``: all shingles, sorted."""
@@ -329,30 +347,51 @@ class Join:
         return self.texts(rows).mapInArrow(each, "row long, set array<long>")
 
     def _frequent_last(self) -> None:
-        """Prefixes that hold frequent shingles are made anew with those behind all others; the rest stays as it is.
+        """Find the frequent shingles, fewer than FREQUENT, which every task knows, and the prefixes that need the text for them.
 
-        The frequent shingles, fewer than FREQUENT, are known to every task.
+        Each task counts what is frequent among its own entries; those counts are summed. Which shingles count as frequent
+        decides the order of all shingles, and so the work to be done, but not what is found.
         """
-        entries = self.short.select(F.explode("prefix").alias("key"))
+
+        def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None:
+                    held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+                if held and (batch is None or sum(map(len, held)) > ENTRIES):
+                    keys, n = np.unique(np.concatenate(held), return_counts=True)
+                    some = n > 2 + sum(map(len, held)) // (4 * FREQUENT)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], names=["key", "n"])
+                    held = []
+
         total = self.short.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        counts = entries.groupBy("key").count().where(F.col("count") * FREQUENT > total + FREQUENT * 8)
-        frequent = [r.key for r in counts.select("key").collect()]
+        counts = self.short.select("prefix").mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        frequent = [r.key for r in counts.where(F.col("n") * FREQUENT > total + FREQUENT * 8).select("key").collect()]
         self.frequent = F.broadcast(self.docs.sparkSession.createDataFrame([(k,) for k in frequent], "key long"))
-        if not frequent:
-            return
         last = np.sort(np.array(frequent, np.int64).view(np.uint64))
         words = self.words
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, held = batch.column(1).to_numpy(zero_copy_only=False), pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+                h, others = _frequent_behind(batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), held, last)
+                size = prefix_size(n)
+                known = (others >= size) | (held == n)
+                size = np.where(known, size, 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(_heads(h, held, size), size)], names=["row", "n", "prefix"])
+
+        def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, h, which in shingles(batch.column(1), words):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(*_prefixes(h, np.bincount(which, minlength=hi - lo), last))], names=["row", "prefix"])
+                    n = np.bincount(which, minlength=hi - lo)
+                    size = prefix_size(n)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), _lists(_heads(_frequent_behind(h, n, last)[0], n, size), size)], names=["row", "n", "prefix"])
 
-        touched = keep(self.short.select("row", F.explode("prefix").alias("key")).join(self.frequent, "key", "left_semi").select("row").distinct(), "touched")
-        new = self.texts(touched).mapInArrow(each, "row long, prefix array<long>")
-        before = self.short
-        self.short = keep(before.join(touched, "row", "left_anti").unionByName(before.drop("prefix").join(new, "row")), "short")
-        drop(before)
+        schema = "row long, n long, prefix array<long>"
+        found = self.short.select("row", "n", "prefix").mapInArrow(each, schema)
+        lacking = keep(found.where(F.size("prefix") == 0).select("row"), "lacking")
+        more = keep(self.texts(lacking).mapInArrow(by_text, schema), "prefixes")
+        self.prefixes = found.where(F.size("prefix") > 0).unionByName(more)
 
     def search(self, near_edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links (a, b) among the clusters that ``near_edges`` (a, b) make, and those clusters as (row, cluster).
@@ -373,9 +412,9 @@ class Join:
     def edges(self) -> DataFrame:
         """Rows (a, b) whose components are those of all similar sets."""
         none = self.docs.sparkSession.createDataFrame([], "row long, cluster long")
-        first = self.short.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.col("row").alias("cluster"))
+        first = self.prefixes.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.col("row").alias("cluster"))
         linked, clusters = self.search(self._near(first), none)
-        rows = self.short.select("row", "n", "prefix").join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
+        rows = self.prefixes.join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
         rows = keep(rows, "clustered")
         left = self._near(rows.select(F.explode("prefix").alias("key"), "n", "row", "cluster"))
         if left.isEmpty():

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import HARD, hard, real
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,7 +94,8 @@ def test_frequent_shingles_are_put_last(spark, monkeypatch):
 
     join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), 4)
     frequent = {r.key for r in join.frequent.collect()}
-    for r in join.short.collect():
+    assert frequent and join.prefixes.count() == join.short.count()
+    for r in join.prefixes.collect():
         flags = [k in frequent for k in r.prefix]
         assert flags == sorted(flags)
         assert len(r.prefix) == r.n - -(-85 * r.n // 100) + 1
@@ -112,11 +114,12 @@ def test_registered_query(spark, sf_dir):
     same(registry.op13_ngram_join(spark, sf_dir), rows)
 
 
-def test_bins_bound_the_difference():
+@pytest.mark.parametrize("share", [ngram_join.LIST_SHARE, ngram_join.BLOCK_SHARE])
+def test_bins_bound_the_difference(share):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)) for n in (1, 2, 5, 40, 300, 301, 2500, 6000)]
     sets += [np.unique(np.concatenate((s[: len(s) * 4 // 5], rng.integers(0, 1 << 63, len(s) // 9 + 1, np.uint64)))) for s in sets] + [np.arange(300, dtype=np.uint64)]
-    bins = ngram_join.Bins(ngram_join._bins(np.concatenate(sets), np.array(list(map(len, sets)))))
+    bins = ngram_join.Bins(ngram_join._bins(np.concatenate(sets), np.array(list(map(len, sets))), share))
     i, j = np.triu_indices(len(sets), 1)
     assert bins.width[-1] == 0  # 300 shingles in one bin: no bound
     assert (bins.apart(i, j) <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]).all()
