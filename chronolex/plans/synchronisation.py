@@ -306,8 +306,8 @@ def inc_merge_current(t):
     return incremental.last_wins(rows, ["document_id", "day"], [F.desc("version_id")])
 
 
-@query("inc_publish", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
-def inc_publish(t):
+@query("publish_pointer", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def publish_pointer(t):
     """Publish a snapshot, move the pointer, and read what is active."""
     root = _folder(t, "published")
     incremental.publish(t.orders.select("o_orderkey", "o_orderstatus"), root, "s1")

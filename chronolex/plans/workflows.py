@@ -178,16 +178,16 @@ def m_grounding_replay(t):
     return found.select("query_id", selection.structurally_grounded(sections, F.col("ids"), F.lit("answer")).alias("again"))
 
 
-@query("inc_upsert", f"WITH {INCOMING} SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, sha256(coalesce(i.text, s.text)) AS h, s.doc_id IS NOT NULL AND i.doc_id IS NOT NULL AND s.text IS DISTINCT FROM i.text AS invalidated FROM documents s FULL JOIN incoming i ON s.doc_id = i.doc_id")
-def inc_upsert(t):
+@query("upsert_text_merge", f"WITH {INCOMING} SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, sha256(coalesce(i.text, s.text)) AS h, s.doc_id IS NOT NULL AND i.doc_id IS NOT NULL AND s.text IS DISTINCT FROM i.text AS invalidated FROM documents s FULL JOIN incoming i ON s.doc_id = i.doc_id")
+def upsert_text_merge(t):
     """Stored and incoming rows merged into a new table; a changed text invalidates what was derived from it."""
     states = incremental.diff(t.documents, _incoming(t), "doc_id", ["text"], ["text"]).select("doc_id", "stale_embedding")
     rows = t.documents.select("doc_id", F.col("text").alias("s")).join(_incoming(t).select("doc_id", F.col("text").alias("i")), "doc_id", "full")
     return rows.join(states, "doc_id").select("doc_id", F.sha2(F.coalesce("i", "s"), 256).alias("h"), F.col("stale_embedding").alias("invalidated"))
 
 
-@query("inc_preview", f"WITH {VERSIONS} SELECT count(*) FILTER (version_id % 9 = 0) AS incoming, count(*) FILTER (effective_to IS NULL AND document_id IN (SELECT document_id FROM versions WHERE version_id % 9 = 0)) AS would_close FROM versions")
-def inc_preview(t):
+@query("preview_open_versions", f"WITH {VERSIONS} SELECT count(*) FILTER (version_id % 9 = 0) AS incoming, count(*) FILTER (effective_to IS NULL AND document_id IN (SELECT document_id FROM versions WHERE version_id % 9 = 0)) AS would_close FROM versions")
+def preview_open_versions(t):
     touched = t.versions.where("version_id % 9 = 0").select("document_id", F.lit(True).alias("touched")).distinct()
     rows = t.versions.join(touched, "document_id", "left")
     return rows.agg(F.count_if(F.col("version_id") % 9 == 0).alias("incoming"), F.count_if(F.col("effective_to").isNull() & F.col("touched").isNotNull()).alias("would_close"))
@@ -199,8 +199,8 @@ def inc_required_embeddings(t):
     return _incoming(t).select("doc_id", F.sha2("text", 256).alias("h")).join(held, "h", "left_anti").select("doc_id")
 
 
-@query("inc_cache_generate", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS first FROM documents WHERE doc_id >= 100")
-def inc_cache_generate(t):
+@query("pending_lengths", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS first FROM documents WHERE doc_id >= 100")
+def pending_lengths(t):
     """Vectors for what the cache lacks, made in Arrow batches by a pluggable function, beside what it holds."""
     import pyarrow as pa
 
@@ -214,8 +214,8 @@ def inc_cache_generate(t):
     return pending.mapInArrow(embed, "doc_id long, first double")
 
 
-@query("inc_cache_load", "SELECT count(*) FILTER (vec_id IS NULL) = 0 AS complete, count(*) FILTER (vec_id IS NOT NULL) AS loaded FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
-def inc_cache_load(t):
+@query("cache_completeness", "SELECT count(*) FILTER (vec_id IS NULL) = 0 AS complete, count(*) FILTER (vec_id IS NOT NULL) AS loaded FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def cache_completeness(t):
     joined = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"), "left")
     return joined.agg((F.count_if(F.col("vec_id").isNull()) == 0).alias("complete"), F.count("vec_id").alias("loaded"))
 
