@@ -394,25 +394,25 @@ def state_cancel(t):
     return S.latest(out, ["user_id"]).select("user_id", "state", "n")
 
 
-@query("state_task_registry", "SELECT user_id, arg_max(event_type, (ts, event_id)) IN ('click', 'view') AS active FROM events GROUP BY user_id")
-def state_task_registry(t):
+@query("last_event_active", "SELECT user_id, arg_max(event_type, (ts, event_id)) IN ('click', 'view') AS active FROM events GROUP BY user_id")
+def last_event_active(t):
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).isin("click", "view").alias("active"))
 
 
-@query("state_retention", "WITH kept AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10') SELECT user_id, count(*) AS turns, max(CAST(ts AS TIMESTAMP)) AS last, arg_max(event_id, (ts, event_id)) AS last_id FROM kept GROUP BY user_id")
-def state_retention(t):
+@query("turns_after_day", "WITH kept AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10') SELECT user_id, count(*) AS turns, max(CAST(ts AS TIMESTAMP)) AS last, arg_max(event_id, (ts, event_id)) AS last_id FROM kept GROUP BY user_id")
+def turns_after_day(t):
     kept = t.events.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
     return kept.groupBy("user_id").agg(F.count("*").alias("turns"), F.max("ts").alias("last"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
-@query("state_chat_session", "SELECT conv_id, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'complete' ELSE 'pending' END AS state FROM conversations GROUP BY conv_id")
-def state_chat_session(t):
+@query("last_role_state", "SELECT conv_id, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'complete' ELSE 'pending' END AS state FROM conversations GROUP BY conv_id")
+def last_role_state(t):
     last = F.max_by("role", "turn")
     return t.conversations.groupBy("conv_id").agg(last.alias("last_role"), F.when(last == "assistant", "complete").otherwise("pending").alias("state"))
 
 
-@query("state_retry_attempts", "SELECT user_id, CAST(ts AS DATE) AS day, least(count(*) FILTER (event_type = 'error'), 3) AS attempts, count(*) FILTER (event_type = 'error') >= 3 AS exhausted FROM events GROUP BY 1, 2")
-def state_retry_attempts(t):
+@query("errors_by_day", "SELECT user_id, CAST(ts AS DATE) AS day, least(count(*) FILTER (event_type = 'error'), 3) AS attempts, count(*) FILTER (event_type = 'error') >= 3 AS exhausted FROM events GROUP BY 1, 2")
+def errors_by_day(t):
     errors = F.count_if(F.col("event_type") == "error")
     return t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.least(errors, F.lit(3)).alias("attempts"), (errors >= 3).alias("exhausted"))
 
