@@ -92,8 +92,8 @@ def read_deletions(t):
     return parsers.deletion_feed(pages, "error")
 
 
-@query("page_union_deletions", "SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) AS n, count(DISTINCT event_id // 100) AS pages FROM events WHERE event_type = 'error'")
-def page_union_deletions(t):
+@query("count_deletion_pages", "SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) AS n, count(DISTINCT event_id // 100) AS pages FROM events WHERE event_type = 'error'")
+def count_deletion_pages(t):
     pages = t.events.where("event_type = 'error'").withColumn("page", F.floor(F.col("event_id") / 100))
     return pages.agg(F.count_distinct("user_id", F.to_date("ts")).alias("n"), F.count_distinct("page").alias("pages"))
 
