@@ -96,8 +96,8 @@ def m_validate_inputs(t):
     return sizes.agg(F.sum(F.col("n") - F.col("d")).alias("repeated"), F.count("*").alias("cases"), F.max("n").alias("longest"))
 
 
-@query("m_gold_contract", "SELECT count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS bad_grades, count(*) - count(DISTINCT doc_id) AS repeated, count(*) FILTER (quality = 0 AND toxic = 1) AS both_bad, count(*) AS n FROM labels")
-def m_gold_contract(t):
+@query("label_grades_audit", "SELECT count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS bad_grades, count(*) - count(DISTINCT doc_id) AS repeated, count(*) FILTER (quality = 0 AND toxic = 1) AS both_bad, count(*) AS n FROM labels")
+def label_grades_audit(t):
     bad = ~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)
     return t.labels.agg(F.count_if(bad).alias("bad_grades"), (F.count("*") - F.count_distinct("doc_id")).alias("repeated"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("both_bad"), F.count("*").alias("n"))
 
@@ -126,10 +126,18 @@ def m_export_blind(t):
 
 @query("m_full_corpus_judgments", "SELECT item_id, count(*) FILTER (rel = 0) AS g0, count(*) FILTER (rel = 1) AS g1, count(*) FILTER (rel = 2) AS g2 FROM (SELECT item_id, coalesce(CASE WHEN doc_id % 40 = item_id THEN 2 WHEN quality = 1 AND doc_id % 7 = item_id % 7 THEN 1 END, 0) AS rel FROM benchmark CROSS JOIN documents LEFT JOIN labels USING (doc_id)) GROUP BY item_id")
 def m_full_corpus_judgments(t):
+    """Grades over the whole corpus: explicit ones are counted, the rest is the corpus less those, never formed as pairs."""
     docs = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    rel = F.when(F.col("doc_id") % 40 == F.col("item_id"), 2).when((F.col("quality") == 1) & (F.col("doc_id") % 7 == F.col("item_id") % 7), 1).otherwise(0)
-    rows = docs.crossJoin(F.broadcast(t.benchmark.select("item_id"))).withColumn("rel", rel)
-    return rows.groupBy("item_id").agg(*[F.count_if(F.col("rel") == g).alias(f"g{g}") for g in (0, 1, 2)])
+    direct = t.benchmark.select("item_id").join(docs.select((F.col("doc_id") % 40).alias("item_id")), "item_id").groupBy("item_id").agg(F.count("*").alias("g2"))
+    # an item's related documents by the remainder that it shares with them, without those that are direct
+    near = docs.where("quality = 1").groupBy((F.col("doc_id") % 7).alias("r"), (F.col("doc_id") % 40).alias("own")).agg(F.count("*").alias("n"))
+    both = near.groupBy("r").agg(F.sum("n").alias("all"))
+    mine = near.select(F.col("own").alias("item_id"), "r", "n")
+    items = t.benchmark.select("item_id", (F.col("item_id") % 7).alias("r"))
+    related = items.join(both, "r", "left").join(mine, ["item_id", "r"], "left").select("item_id", (F.coalesce("all", F.lit(0)) - F.coalesce("n", F.lit(0))).alias("g1"))
+    total = t.documents.agg(F.count("*").alias("total"))  # one row
+    whole = related.join(direct, "item_id", "left").crossJoin(total).withColumn("g2", F.coalesce("g2", F.lit(0).cast("long")))
+    return whole.select("item_id", (F.col("total") - F.col("g1") - F.col("g2")).alias("g0"), "g1", "g2")
 
 
 @query("m_draft_preflight", "SELECT toxic, quality, count(*) AS n FROM labels GROUP BY 1, 2 HAVING count(*) > 5")
