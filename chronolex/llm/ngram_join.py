@@ -6,7 +6,7 @@ merged, and the others, the longest ones, are probed. The order puts the most fr
 
 Inverted lists meet in Spark by shingle. Texts of a list that stand bounds on their sizes and on their counts of shingles
 by bin, which lose no link, are near; of a list's near texts a spanning forest is passed on, and its trees over all
-lists are clusters. A cluster's whole sets meet in blocks, each set once by pair of blocks, and every near pair in it is
+lists are clusters. A cluster's whole texts meet in blocks, each text once by pair of blocks, and every near pair in it is
 searched for: a query text over the inverted lists of its candidates. DivideSkip sets the longest lists aside, merges
 the short ones by a heap, skips what can't reach the rest of T, and probes the long lists for what can. A first round
 over a few shingles of each text settles the groups of near copies, the second one goes over all lists that hold texts
@@ -267,16 +267,16 @@ def similar(query: np.ndarray, held: list[np.ndarray]) -> list[int]:
     return [k for k, shared in divide_skip(lists, least, aside) if shared >= least_overlap(n, int(sizes[k]))]
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (group, lo, hi, own, row, cluster, set) sorted by the first three: links (a, b) of rows that join what is similar.
+def _searched(words: int):
+    """Over rows (group, lo, hi, own, row, cluster, text) sorted by group, lo, hi and row: links (a, b) of rows that join what is similar.
 
     Texts of one cluster aren't compared, nor texts that links of this group join already. A group of two blocks compares
-    texts of different ones.
+    texts of different ones. Repeated rows count once.
     """
 
     def links(lo, hi, own, row, cluster, sets) -> Iterator[tuple[int, int]]:
         m, n = len(sets), np.array([len(x) for x in sets], np.int64)
-        bins = Bins(_bins(np.concatenate(sets).view(np.uint64), n, BLOCK_SHARE))
+        bins = Bins(_bins(np.concatenate(sets), n, BLOCK_SHARE))
         tree = np.arange(m)
         for q in range(m - 1):
             rest = np.arange(q + 1, m)
@@ -292,23 +292,27 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield row[q], row[i]
                 tree[tree == tree[i]] = tree[q]
 
-    asking, rows = None, []
-    for batch in itertools.chain(batches, [None]):
-        columns = [c.to_pylist() for c in batch.columns[:6]] if batch is not None else [[None]] * 6
-        sets = batch.column(6) if batch is not None else None
-        flat, ends = (sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy(zero_copy_only=False)) if sets is not None else (None, None)
-        found: list[tuple[int, int]] = []
-        for k, (group, lo, hi, own, row, cluster) in enumerate(zip(*columns, strict=True)):
-            if (group, lo, hi) != asking or batch is None:
-                if rows:
-                    o, r, c, x = zip(*rows, strict=True)
-                    found.extend(links(asking[1], asking[2], np.array(o), r, np.array(c), list(x)))
-                asking, rows = (group, lo, hi), []
-            if batch is not None:
-                rows.append((own, row, cluster, flat[ends[k] : ends[k + 1]].copy()))
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, rows = None, []
+        for batch in itertools.chain(batches, [None]):
+            columns = [c.to_pylist() for c in batch.columns[:6]] if batch is not None else [[None]] * 6
+            sets: list[np.ndarray] = []
+            for lo, hi, h, which in shingles(batch.column(6), words) if batch is not None else ():
+                sets.extend(np.split(h, np.cumsum(np.bincount(which, minlength=hi - lo))[:-1]))
+            found: list[tuple[int, int]] = []
+            for k, (group, lo, hi, own, row, cluster) in enumerate(zip(*columns, strict=True)):
+                if (group, lo, hi) != asking or batch is None:
+                    if rows:
+                        o, r, c, x = zip(*rows, strict=True)
+                        found.extend(links(asking[1], asking[2], np.array(o), r, np.array(c), list(x)))
+                    asking, rows = (group, lo, hi), []
+                if batch is not None and not (rows and rows[-1][1] == row):
+                    rows.append((own, row, cluster, sets[k]))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return each
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -328,23 +332,12 @@ class Join:
         self._frequent_last()
 
     def texts(self, rows: DataFrame) -> DataFrame:
-        """(row, text) of the given ``rows`` (row); one text of those equal in doc_id and hash."""
-        own = keep(self.marks.select("row", "doc_id", "hash").join(rows, "row", "left_semi").select("row", F.col("doc_id").alias("own"), F.col("hash").alias("mark")), "own")
-        same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("mark"))
-        group = F.pmod("hash", F.lit(GROUPS))
-        groups = F.broadcast(own.select(F.pmod("mark", F.lit(GROUPS)).alias("group")).distinct())
-        return self.docs.join(groups, group == F.col("group"), "left_semi").join(own, same).select("row", "text").dropDuplicates(["row"])
-
-    def whole(self, rows: DataFrame) -> DataFrame:
-        """(row, set) of the given ``rows``: all shingles, sorted."""
-        words = self.words
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, h, which in shingles(batch.column(1), words):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(_sorted(h, which), np.bincount(which, minlength=hi - lo))], names=["row", "set"])
-
-        return self.texts(rows).mapInArrow(each, "row long, set array<long>")
+        """``rows`` (row, further columns) with the text of each row; a text that ``docs`` has several times comes as often."""
+        asked = self.marks.select("row", F.col("doc_id").alias("id"), F.col("hash").alias("mark")).join(rows, "row")
+        asked = keep(asked, "asked")
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("mark"))
+        groups = F.broadcast(asked.select(F.pmod("mark", F.lit(GROUPS)).alias("some")).distinct())
+        return self.docs.join(groups, F.pmod("hash", F.lit(GROUPS)) == F.col("some"), "left_semi").join(asked, same).drop("doc_id", "hash", "id", "mark")
 
     def _frequent_last(self) -> None:
         """Find the frequent shingles, fewer than FREQUENT, which every task knows, and the prefixes that need the text for them.
@@ -390,24 +383,23 @@ class Join:
         schema = "row long, n long, prefix array<long>"
         found = self.short.select("row", "n", "prefix").mapInArrow(each, schema)
         lacking = keep(found.where(F.size("prefix") == 0).select("row"), "lacking")
-        more = keep(self.texts(lacking).mapInArrow(by_text, schema), "prefixes")
+        more = keep(self.texts(lacking).select("row", "text").mapInArrow(by_text, schema).dropDuplicates(["row"]), "prefixes")
         self.prefixes = found.where(F.size("prefix") > 0).unionByName(more)
 
     def search(self, near_edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links (a, b) among the clusters that ``near_edges`` (a, b) make, and those clusters as (row, cluster).
 
         Texts of one of the ``clusters`` of before are settled and not compared again. Clusters come in blocks of about
-        MEMBERS texts or SHINGLES shingles, every two blocks as a group, so a set is read once for each block of its cluster.
+        MEMBERS texts or SHINGLES shingles, every two blocks as a group, so a text is read once for each block of its cluster.
         """
         joined = keep(connected(near_edges), "clusters").select(F.col("node").alias("row"), F.col("root").alias("group"))
         blocks = F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int")
         sizes = keep(joined.join(self.short.select("row", "n"), "row").groupBy("group").agg(blocks.alias("blocks")), "sizes")
         member = spread_join(joined, sizes, "group").join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
-        member = keep(_two_by_two(member, "blocks").select("group", "lo", "hi", "own", "row", "cluster"), "members")
-        sets = keep(self.whole(joined.select("row")), "whole")
-        rows = member.join(sets, "row").select("group", "lo", "hi", "own", "row", "cluster", "set")
+        member = _two_by_two(member, "blocks").select("row", "group", "lo", "hi", "own", "cluster")
+        rows = self.texts(member).select("group", "lo", "hi", "own", "row", "cluster", "text")
         dealt = rows.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "row")
-        return keep(dealt.mapInArrow(_searched, "a long, b long"), "links"), joined.withColumnRenamed("group", "cluster")
+        return keep(dealt.mapInArrow(_searched(self.words), "a long, b long"), "links"), joined.withColumnRenamed("group", "cluster")
 
     def edges(self) -> DataFrame:
         """Rows (a, b) whose components are those of all similar sets."""
@@ -456,12 +448,6 @@ def _with_settled(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return edges.unionByName(held)
 
 
-def _sorted(h: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Hashes sorted as signed numbers inside each text."""
-    signed = h.view(np.int64)
-    return signed[np.lexsort((signed, which))]
-
-
 def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text; others ignored).
 
