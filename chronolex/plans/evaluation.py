@@ -102,8 +102,8 @@ def label_grades_audit(t):
     return t.labels.agg(F.count_if(bad).alias("bad_grades"), (F.count("*") - F.count_distinct("doc_id")).alias("repeated"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("both_bad"), F.count("*").alias("n"))
 
 
-@query("m_bank_audit", r"SELECT count(*) AS n, count(DISTINCT lower(regexp_replace(text, '\s+', ' ', 'g'))) AS distinct_texts, count(*) FILTER (length(text) NOT BETWEEN 15 AND 300) AS bad_length, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits FROM benchmark")
-def m_bank_audit(t):
+@query("benchmark_text_audit", r"SELECT count(*) AS n, count(DISTINCT lower(regexp_replace(text, '\s+', ' ', 'g'))) AS distinct_texts, count(*) FILTER (length(text) NOT BETWEEN 15 AND 300) AS bad_length, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits FROM benchmark")
+def benchmark_text_audit(t):
     return t.benchmark.agg(
         F.count("*").alias("n"), F.count_distinct(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("distinct_texts"), F.count_if(~F.length("text").between(15, 300)).alias("bad_length"), F.count_if(F.col("text").rlike("[0-9]")).alias("with_digits")
     )
@@ -145,8 +145,8 @@ def m_draft_preflight(t):
     return t.labels.groupBy("toxic", "quality").agg(F.count("*").alias("n")).where("n > 5")
 
 
-@query("m_judgment_rules", f"WITH {HITS} SELECT query_id, count(*) FILTER (rank <= 5 AND label % 2 = 0) = 0 AS clean_top, string_agg(vec_id, ',' ORDER BY rank) FILTER (rank > 5 AND label % 2 = 1) AS late FROM hits GROUP BY query_id")
-def m_judgment_rules(t):
+@query("late_judgments", f"WITH {HITS} SELECT query_id, count(*) FILTER (rank <= 5 AND label % 2 = 0) = 0 AS clean_top, string_agg(vec_id, ',' ORDER BY rank) FILTER (rank > 5 AND label % 2 = 1) AS late FROM hits GROUP BY query_id")
+def late_judgments(t):
     rows = F.array_sort(F.collect_list(F.struct("rank", "vec_id", "label")))
     lists = hits(t).groupBy("query_id").agg(rows.alias("r"))
     late = F.filter("r", lambda x: (x["rank"] > 5) & (x["label"] % 2 == 1))

@@ -8,7 +8,7 @@ from chronolex.functions import references as R
 from chronolex.functions import text as X
 from chronolex.functions import vectors as V
 from chronolex.operators import retrieval, selection, temporal
-from chronolex.plans.aggregates import HITS, hits
+from chronolex.plans.aggregates import HITS, budget_walk, hits
 from chronolex.plans.base import PROVISIONS, SEARCHABLE, VERSIONS, query
 from chronolex.plans.scans import AS_OF, ROUTE, as_of, route_of
 
@@ -185,7 +185,10 @@ def q_context_package(t):
     return x.select("doc_id", status.alias("status"))
 
 
-@query("q_context_assembly")
+_BUDGETS = budget_walk("[3000, 6000, 60000]", 5, False)
+
+
+@query("q_context_assembly", f"WITH RECURSIVE {_BUDGETS} SELECT budget, query_id, used, len(chosen) AS n_chosen, budget_exceeded FROM walked")
 def q_context_assembly(t):
     lengths = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("n_chars"))
     base = hits(t).join(lengths, "vec_id")
@@ -197,7 +200,7 @@ def q_context_assembly(t):
     return out
 
 
-@query("agg_combo_report")
+@query("agg_combo_report", f"WITH RECURSIVE {_BUDGETS} SELECT budget, avg(used) AS avg_chars, round_even(avg(used / 2.2), 4) AS avg_tokens, avg(len(chosen)) AS avg_articles, count(*) FILTER (budget_exceeded) AS exceeded FROM walked GROUP BY budget")
 def agg_combo_report(t):
     rows = q_context_assembly(t)
     return rows.groupBy("budget").agg(F.avg("used").alias("avg_chars"), F.bround(F.avg(F.col("used") / 2.2), 4).alias("avg_tokens"), F.avg("n_chosen").alias("avg_articles"), F.count_if("budget_exceeded").alias("exceeded"))

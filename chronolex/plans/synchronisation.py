@@ -119,8 +119,8 @@ def regroup_repeated_labels(t):
     return parsers.regroup_flat(t.events, ["user_id"], "event_id", "event_type").select("user_id", "event_id", F.col("group_no").cast("long").alias("group_no"))
 
 
-@query("split_numbered_sections", "SELECT doc_id, CAST(2 AS BIGINT) AS n FROM documents")
-def split_numbered_sections(t):
+@query("two_numbered_sections", "SELECT doc_id, CAST(2 AS BIGINT) AS n FROM documents")
+def two_numbered_sections(t):
     made = F.concat(F.lit("Scope "), F.lit("1.1 first, from 2.5-3.5 on. "), F.lit("1.2 second on 2024.1.2 of "), F.regexp_replace("text", r"\d", ""))
     return t.documents.select("doc_id", F.size(parsers.numbered_sections(made)).cast("long").alias("n"))
 

@@ -169,3 +169,38 @@ def read_vector_cache(spark: SparkSession, path: str, schema: str, key: str) ->
     flat = checked.select("_file", "_line", "r.*")
     w = Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_line"))
     return flat.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file", "_line")
+
+
+# A section number of a technical standard, not part of a date, a range or a sentence that only names it.
+SECTION = r"(?<!\d)(?<!\d\.)(\d+\.\d+)(?![\d.])(?!에도|에서|으로|부터|까지|을|를|에|의|과|와|로)(?!\s+및(?:\s|$))\s*(?=[가-힣<])"
+
+
+def standard_sections(text: Column) -> Column:
+    """array<struct<number, text>>: ``text`` cut before each section number; none if there are fewer than two.
+
+    What stands before the first number is put in front of the first section.
+    """
+    parts = F.split(text, f"(?={SECTION})", -1)
+    numbers = F.regexp_extract_all(text, F.lit(SECTION), F.lit(1))
+    trimmed = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
+    opens = F.size(parts) == F.size(numbers)  # the text begins with a number
+    body = F.when(opens, trimmed).otherwise(F.slice(trimmed, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
+    prefix = F.when(opens, F.lit("")).otherwise(F.get(trimmed, F.lit(0)))
+    glued = F.transform(body, lambda s, k: F.when((k == 0) & (prefix != ""), F.concat(prefix, F.lit(" "), s)).otherwise(s))
+    made = F.transform(F.arrays_zip(numbers.alias("number"), glued.alias("text")), lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text")))
+    return F.when(F.size(numbers) >= 2, made).otherwise(F.array().cast("array<struct<number:string,text:string>>"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of ``schema``, blank ones left out; a line that isn't JSON of it fails the read."""
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def corpus_index(records: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """The record of each (document_id, path), the last by ``order``, and the children of each (document_id, parent_path), by ordinal."""
+    w = Window.partitionBy("document_id", "path").orderBy(F.desc(order))
+    by_path = records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    child = F.struct("ordinal", F.col(order).alias("_order"), "provision_id")
+    children = records.where("parent_path is not null").groupBy("document_id", "parent_path").agg(F.transform(F.array_sort(F.collect_list(child)), lambda c: c["provision_id"]).alias("children"))
+    return by_path, children
