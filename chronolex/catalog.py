@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolex.plans import base
 
-for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation", "synchronisation", "workflows", "bodies", "grounding", "publication", "states", "feeds", "gold", "audits"):
+for _name in ("scans", "joins", "aggregates", "retrieval", "evaluation", "synchronisation", "workflows", "bodies", "grounding", "publication", "states", "feeds", "gold", "audits", "answers"):
     importlib.import_module(f"chronolex.plans.{_name}")
 
 

@@ -243,11 +243,14 @@ def window_keep_last_runs(t):
     return retrieval.top(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5, "n").select("user_id", "event_id")
 
 
-def budget_walk(budgets: str, most: int, exempt: bool) -> str:
+_COSTS = f"{HITS}, costs AS (SELECT query_id, vec_id, n_chars, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hits JOIN documents ON doc_id = vec_id)"
+
+
+def budget_walk(budgets: str, most: int, exempt: bool, costs: str = _COSTS) -> str:
     """The walk over each query's hits, one step of a recursion by hit: CTEs of which ``walked`` has the last step by budget and query."""
     fits = "used + n_chars <= budget" + (" OR len(chosen) = 0" if exempt else "")
     take = f"len(chosen) < {most} AND used < budget AND ({fits})"
-    return f"""{HITS}, costs AS (SELECT query_id, vec_id, n_chars, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hits JOIN documents ON doc_id = vec_id),
+    return f"""{costs},
 walk AS (SELECT DISTINCT query_id, budget, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS chosen, false AS skipped FROM costs, unnest({budgets}) AS b(budget)
   UNION ALL SELECT w.query_id, budget, c.n, CASE WHEN {take} THEN used + n_chars ELSE used END, CASE WHEN {take} THEN list_append(chosen, vec_id) ELSE chosen END, skipped OR (len(chosen) < {most} AND used < budget AND NOT ({fits}))
   FROM walk w JOIN costs c ON c.query_id = w.query_id AND c.n = w.n + 1),

@@ -53,15 +53,15 @@ def _dense(t, keep, k):
     return retrieval.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.where(keep), k)
 
 
-@query("q_dense", _DENSE.format(keep="vec_id % 3 <> 1") + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r WHERE rank <= 50) WHERE n = 1")
+@query("q_dense", _DENSE.format(keep="true") + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r WHERE rank <= 50) WHERE n = 1")
 def q_dense(t):
-    rows = _dense(t, "vec_id % 3 <> 1", 50).select("*", F.col("label").alias("document_id"), F.concat(F.lit("a"), F.col("label")).alias("path"))
+    rows = _dense(t, "true", 50).select("*", F.col("label").alias("document_id"), F.concat(F.lit("a"), F.col("label")).alias("path"))
     return temporal.first_per_article(rows, ["query_id"], [F.asc("rank")]).select("query_id", "vec_id", "score")
 
 
-@query("q_dense_raw", _DENSE.format(keep="vec_id % 2 = 0") + " SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200")
+@query("q_dense_raw", _DENSE.format(keep="true") + " SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200")
 def q_dense_raw(t):
-    return _dense(t, "vec_id % 2 = 0", 200).select("query_id", "vec_id", "rank")
+    return _dense(t, "true", 200).select("query_id", "vec_id", "rank")
 
 
 @query("q_as_of_dense", f"""WITH {VERSIONS}, valid AS (SELECT DISTINCT document_id FROM versions WHERE {AS_OF}), v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -379,7 +379,8 @@ def stream_dedupe(t):
 
 @query("state_stage_timing", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 400) AS slow FROM events GROUP BY 1")
 def state_stage_timing(t):
-    return S.run_to_table(S.stage_outcomes(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "complete").select("event_type", "n", "slow")
+    out = S.run_to_table(S.stage_outcomes(S.read_events(t.spark, f"{t.sf_dir}/events.parquet")), "update")
+    return S.latest(out, ["event_type"]).select("event_type", "n", "slow")
 
 
 @query("state_quota", "SELECT user_id, CAST(ts AS DATE) AS day, least(count(*), 2) AS used, greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY 1, 2")
