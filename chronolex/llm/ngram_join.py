@@ -406,8 +406,12 @@ class Join:
         none = self.docs.sparkSession.createDataFrame([], "row long, cluster long")
         first = self.prefixes.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.col("row").alias("cluster"))
         linked, clusters = self.search(self._near(first), none)
-        rows = self.prefixes.join(clusters, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
-        rows = keep(rows, "clustered")
+        # most texts are in no cluster: those are sorted out by hash groups, and only the others meet the clusters by a shuffle
+        group = F.pmod(F.xxhash64("row"), F.lit(GROUPS))
+        groups = F.broadcast(clusters.select(group.alias("some")).distinct())
+        some = self.prefixes.join(groups, group == F.col("some"), "left_semi").join(clusters, "row", "left")
+        others = self.prefixes.join(groups, group == F.col("some"), "left_anti").withColumn("cluster", F.lit(None).cast("long"))
+        rows = keep(some.unionByName(others).withColumn("cluster", F.coalesce("cluster", "row")), "clustered")
         left = self._near(rows.select(F.explode("prefix").alias("key"), "n", "row", "cluster"))
         if left.isEmpty():
             return linked
