@@ -47,7 +47,7 @@ SMALL = 16
 #: Shingles by bin, at least: where texts meet in lists, and where whole sets meet in blocks.
 LIST_SHARE, BLOCK_SHARE = 16, 2
 #: Groups of text hashes by which texts are sorted out before they are joined by their ids: a bound on what is broadcast.
-GROUPS = 1 << 18
+GROUPS = 1 << 20
 #: Cells of bins that one numpy pass compares.
 CELLS = 1 << 21
 #: Long lists: T / (WEIGHT * log2(longest) + 1) of them.
@@ -435,7 +435,11 @@ class Join:
         hot = entries.join(self.frequent, "key", "left_semi")
         hot = hot.join(F.broadcast(hot.groupBy("key").agg(*which)), "key")
         w = Window.partitionBy("key")
-        rest = entries.join(self.frequent, "key", "left_anti").select("*", F.min("cluster").over(w).alias("least"), F.max("cluster").over(w).alias("most"), F.count("*").over(w).alias("size"))
+        by_size = w.orderBy("n")
+        # a text whose neighbours by size are too small and too large has no partner in the list
+        partner = (F.coalesce(F.lag("n").over(by_size), F.lit(0)) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.coalesce(F.lead("n").over(by_size), F.lit(1 << 40)) * NUM)
+        rest = entries.join(self.frequent, "key", "left_anti").withColumn("partner", partner)
+        rest = rest.select("*", F.min("cluster").over(w).alias("least"), F.max("cluster").over(w).alias("most"), F.count("*").over(w).alias("size")).where("partner").drop("partner")
         return hot.unionByName(rest).where("least <> most").select("key", "n", "row", "cluster", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
 
 
