@@ -124,7 +124,7 @@ def _marks(words: int):
             for lo, hi, h, which in shingles(batch.column(1), words):
                 n = np.bincount(which, minlength=hi - lo)
                 size = prefix_size(n)
-                size = np.minimum(n, size + size // 2)  # some more, in case frequent ones have to go behind
+                size = np.minimum(n, size + size // 4)  # some more, in case frequent ones have to go behind
                 own = batch.slice(lo, hi - lo)
                 columns = [own.column(0), own.column(2), pa.array(_sign(h, which, n).view(np.int64)), pa.array(n), pa.array(_bins(h, n, LIST_SHARE), pa.binary()), _lists(_heads(h, n, size), size)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "sig", "n", "bins", "prefix"])
@@ -404,14 +404,14 @@ class Join:
     def edges(self) -> DataFrame:
         """Rows (a, b) whose components are those of all similar sets."""
         none = self.docs.sparkSession.createDataFrame([], "row long, cluster long")
-        first = self.prefixes.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.col("row").alias("cluster"))
+        first = self.prefixes.select(F.explode(F.slice("prefix", 1, FIRST)).alias("key"), "n", "row", F.lit(None).cast("long").alias("cluster"))
         linked, clusters = self.search(self._near(first), none)
         # most texts are in no cluster: those are sorted out by hash groups, and only the others meet the clusters by a shuffle
         group = F.pmod(F.xxhash64("row"), F.lit(GROUPS))
         groups = F.broadcast(clusters.select(group.alias("some")).distinct())
         some = self.prefixes.join(groups, group == F.col("some"), "left_semi").join(clusters, "row", "left")
         others = self.prefixes.join(groups, group == F.col("some"), "left_anti").withColumn("cluster", F.lit(None).cast("long"))
-        rows = keep(some.unionByName(others).withColumn("cluster", F.coalesce("cluster", "row")), "clustered")
+        rows = keep(some.unionByName(others), "clustered")
         left = self._near(rows.select(F.explode("prefix").alias("key"), "n", "row", "cluster"))
         if left.isEmpty():
             return linked
@@ -428,17 +428,20 @@ class Join:
     def _open(self, entries: DataFrame) -> DataFrame:
         """The ``entries`` (key, n, row, cluster) of lists that hold texts of several clusters, and in how many chunks to take each list.
 
+        A text without a cluster, null, is one by itself and gets its row as cluster here.
+
         Lists of frequent shingles may be of any length: what is open there is found by a grouping and known to every task.
         All others are short and go through one window.
         """
+        own = F.coalesce("cluster", "row")
         which = [F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("size")]
-        hot = entries.join(self.frequent, "key", "left_semi")
+        hot = entries.join(self.frequent, "key", "left_semi").withColumn("cluster", own)
         hot = hot.join(F.broadcast(hot.groupBy("key").agg(*which)), "key")
         w = Window.partitionBy("key")
         by_size = w.orderBy("n")
         # a text whose neighbours by size are too small and too large has no partner in the list
         partner = (F.coalesce(F.lag("n").over(by_size), F.lit(0)) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.coalesce(F.lead("n").over(by_size), F.lit(1 << 40)) * NUM)
-        rest = entries.join(self.frequent, "key", "left_anti").withColumn("partner", partner)
+        rest = entries.join(self.frequent, "key", "left_anti").withColumn("partner", partner).withColumn("cluster", own)
         rest = rest.select("*", F.min("cluster").over(w).alias("least"), F.max("cluster").over(w).alias("most"), F.count("*").over(w).alias("size")).where("partner").drop("partner")
         return hot.unionByName(rest).where("least <> most").select("key", "n", "row", "cluster", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
 

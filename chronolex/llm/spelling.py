@@ -221,7 +221,8 @@ def _found(most_words: int, cells: int):
             if batch is not None:
                 new = pa.Table.from_batches([batch])
                 if too_large is not None:  # the group found too large goes on
-                    goes_on = int(np.searchsorted(_changes(new), True)) if new["key"][0].as_py() == too_large else 0
+                    changes = np.flatnonzero(_changes(new))
+                    goes_on = 0 if new["key"][0].as_py() != too_large else int(changes[0]) if len(changes) else len(new)
                     if goes_on:
                         yield from large(new.slice(0, goes_on))
                         new = new.slice(goes_on)

@@ -81,6 +81,12 @@ def test_split_groups_and_small_blocks(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
         for most_words, cells in ((9, 300), (4, 1), (20, 10_000)):
             assert result(spelling.variants(df, most_words=most_words, cells=cells, held=10)) == brute(rows)
+        # a group that is too large ends at any place of a batch
+        words = spark.createDataFrame([(w, 5) for w in sorted({v for _, text in rows for v in text.split()})], "word string, n long")
+        whole = sorted(map(tuple, spelling.near_words(words).collect()))
+        for per in (1, 2, 3, 5, 11, 23):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per)
+            assert sorted(map(tuple, spelling.near_words(words, most_words=9, cells=300).collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
