@@ -32,6 +32,6 @@ def test_history_join_is_an_equi_join(spark, sf_dir):
 
 
 def test_no_python_in_native_queries(spark, sf_dir):
-    for name in ("q_four_stage_cascade", "agg_case_metrics", "join_near_duplicates", "window_effective_periods", "read_law_json"):
+    for name in ("q_four_stage_cascade", "agg_case_metrics", "join_near_duplicates", "window_effective_periods", "read_compact_json"):
         text = plan(catalog.queries()[name](spark, sf_dir))
         assert not any(word in text for word in ("Python", "Pandas", "Arrow")), name
