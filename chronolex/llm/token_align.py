@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,8 +30,9 @@ from chronolex.llm import textarrays as T
 from chronolex.llm.durable import keep
 from chronolex.llm.token_count import _byte_letters
 
-#: From a space to the next space that follows a character that isn't white space.
-SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
+#: From a space to the next space that follows a character that isn't white space. A space that ends the text stays with what
+#: it follows: the piece model, which adds a space itself, would get nothing for it.
+SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*(?: \Z)?")
 #: Bytes of text in one pass, and of segments in one set of interval tables.
 PASS_BYTES, TABLE_BYTES = 1 << 21, 1 << 18
 #: A worker forgets its segments when it holds more than this many, or more bytes than that.
@@ -91,7 +94,7 @@ class Aligner:
         if any(MARK in p.lstrip(MARK) for i, p in enumerate(names) if not self.pieces.is_control(i) and not self.pieces.is_unknown(i)):
             raise ValueError("a piece holds a space mark behind another character: segments don't stand by themselves")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.tables = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.tables = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": f"{tempfile.gettempdir()}/align-{uuid.uuid4().hex}"})
         self.forget()
 
     def _ranked(self, path: str):
@@ -123,10 +126,14 @@ class Aligner:
         self.held += int(sizes[-1])
 
     def _byte_tokens(self, segments: list[str], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the byte-level side and the segment each belongs to."""
-        joined = "".join(segments)
-        if self.ranked is not None and not LONG_SPACE.search(joined):
-            ids = np.array(self.ranked.encode_ordinary(joined), np.int64)
+        """Ids of the byte-level side and the segment each belongs to.
+
+        Segments are read joined, up to one that ends in white space: it ended its text, and would run into the next one.
+        """
+        ends = [k for k, s in enumerate(segments, 1) if s[-1].isspace()]
+        runs = ["".join(segments[lo:hi]) for lo, hi in zip([0, *ends], [*ends, len(segments)], strict=True)]
+        if self.ranked is not None and not any(map(LONG_SPACE.search, runs)):
+            ids = np.fromiter(chain.from_iterable(map(self.ranked.encode_ordinary, runs)), np.int64)
             return ids, np.searchsorted(bounds, np.cumsum(self.a_sizes[ids]), side="left") - 1
         return _flat([e.ids for e in self.byte_level.encode_batch_fast(segments, add_special_tokens=False)])
 

@@ -114,3 +114,26 @@ def test_segments_forgotten_between_batches():
 @pytest.mark.parametrize("text", ["plain words here", "  lead", "trail  ", "a\n b", "a\n\n  b c"])
 def test_segments_rebuild_the_text(text):
     assert "".join(token_align.SEGMENT.findall(" " + text)) == " " + text
+
+
+def test_texts_that_end_in_one_space(spark):
+    texts = ["trail ", "a b ", "x ", " ", "x  ", "\n ", "word\x1c ", "ok. ", "plain", "x ", " x "]
+    rows = list(enumerate(texts))
+    same(token_align.digest(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
+def test_white_space_at_both_ends_of_neighbours(spark):
+    """Texts of one partition that would run into each other if their segments were read joined."""
+    rows = list(enumerate(["x \xa0", "\xa0\xa0y", "!\x1c\x1c", "\xa0\xa0\t\x85\xa0            word\r\n", "\n\n\r\n\xa0\xa0!\r\n", "\xa0   \t\xa0\xa0\t\n\n  \xa0"]))
+    same(token_align.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), rows)
+
+
+def test_interval_tables_may_exceed_memory():
+    """A long text without spaces is one segment, whose tables go to disk if they are too large."""
+    text = "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(150_000))
+    aligner = token_align.Aligner(*token_align.default_paths())
+    whole = aligner.documents([text])
+    aligner.forget()
+    aligner.tables.execute("SET memory_limit = '64MB'")
+    spilled = aligner.documents([text])
+    assert whole[0][0][0] > 150_000 and (whole[0] == spilled[0]).all() and whole[1] == spilled[1] and (whole[4] == spilled[4]).all()
