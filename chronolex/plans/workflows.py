@@ -23,9 +23,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, vec_id, label, score, CAST(rank AS INTEGER) AS rank FROM a WHERE n = 1""")
 def flagship_temporal_search(t):
     """Effective periods, the as-of and search filters, exact vector ranking, one hit for each article."""
-    valid = t.versions.where(as_of()).where(temporal.searchable()).select(F.col("document_id").alias("vec_id")).distinct()
+    valid = t.versions.where(as_of()).where(temporal.searchable()).select(F.col("document_id").alias("vec_id"))
     v = t.embeddings.select("vec_id", "label", V.doubles(F.col("embedding")).alias("embedding"))
-    ranked = retrieval.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.join(valid, "vec_id", "left_semi"), 50)
+    ranked = retrieval.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.join(valid, "vec_id", "left_semi"), 50, most=v.count())
     rows = ranked.select("*", F.col("label").alias("document_id"), F.concat(F.lit("a"), F.col("label")).alias("path"))
     return temporal.first_per_article(rows, ["query_id"], [F.asc("rank")]).select("query_id", "vec_id", "label", "score", "rank")
 
