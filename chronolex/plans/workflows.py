@@ -82,7 +82,8 @@ def topk_overfetch_v2(t):
 @query("greedy_budget_variant_b")
 def greedy_budget_variant_b(t):
     """The fold of variant a over whole article texts instead of single hits."""
-    sizes = selection.subtree_text(t.provisions, ["doc_id"], "ordinal", "content").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("chars"))
+    # the length of ``subtree_text``: its lines and what joins them
+    sizes = t.provisions.groupBy(F.col("doc_id").alias("vec_id")).agg((F.sum(F.length("content").cast("long") + 1) - 1).cast("int").alias("chars"))
     return selection.greedy_budget(hits(t).join(sizes, "vec_id"), "query_id", "rank", "chars", "vec_id", 3, 9000, first_exempt=False).withColumn("chosen", F.array_join("chosen", ","))
 
 
